@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import splits, topn
+from lodegraph.llm import addresses, names, splits, topn
 from lodegraph.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_location(table(spark, d, "entities"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_name(table(spark, d, "entities"), table(spark, d, "nicknames"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "candidates"), "grp", "id", "prior", 5).select("grp", "id")
 
@@ -39,6 +47,8 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p4_found": p4_found,
     "p3_found": p3_found,
     "p3_top_ranked": p3_top_ranked,
     "p5_found": p5_found,
