@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.queries import profiles
+from lodegraph.queries import graph, profiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _m in (profiles,):
+for _m in (graph, profiles):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
