@@ -47,8 +47,8 @@ pattern("node_point", 'n(type="nation", value="7")', {"nationkey": key("n1_value
 pattern("edge_type_scan", 'e(type="placed")', {"n": "1"}, "select 1 as n from orders join customer on o_custkey = c_custkey")
 pattern("prop_eq", 'n(type="part", size=10)', {"partkey": key("n1_value")}, "select p_partkey as partkey from part where p_size = 10")
 pattern("prop_in", 'n(type="customer", mktsegment=["BUILDING","MACHINERY"])', {"custkey": key("n1_value")}, "select c_custkey as custkey from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
-pattern("prop_range", 'n(type="part", retailprice>=1200, retailprice<1500.5)', {"partkey": key("n1_value")}, "select p_partkey as partkey from part where p_retailprice >= 1200 and p_retailprice < 1500.5")
-pattern("prop_regex", 'n(type="part", ptype~/^(large|small) .*tin$/i)', {"partkey": key("n1_value")}, "select p_partkey as partkey from part where regexp_matches(lower(p_type), '^(large|small) .*tin$')")
+pattern("prop_range", 'n(type="part", retailprice>=910, retailprice<930.5)', {"partkey": key("n1_value")}, "select p_partkey as partkey from part where p_retailprice >= 910 and p_retailprice < 930.5")
+pattern("prop_regex", 'n(type="part", ptype~/^(large|s.a)/i)', {"partkey": key("n1_value")}, "select p_partkey as partkey from part where regexp_matches(lower(p_type), '^(large|s.a)')")
 pattern("prop_not_regex", 'n(type="part", ptype!~/T/)', {"partkey": key("n1_value")}, "select p_partkey as partkey from part where not contains(p_type, 'T')")
 # Regions, nations and suppliers have no mktsegment: an unresolved key fails the negation too.
 pattern("prop_not", 'n(mktsegment!="BUILDING")', {"custkey": key("n1_value")}, "select c_custkey as custkey from customer where c_mktsegment <> 'BUILDING'")
@@ -185,10 +185,10 @@ def props_of(spark: SparkSession, d: str) -> DataFrame:
     return n.join(g.props.filter("val_kind = 'string'"), "parent").select("custkey", "key", "val_str")
 
 
-@add("props_valued", "select p_partkey as partkey from part where p_brand = 'Brand#13'")
+@add("props_valued", "select p_partkey as partkey from part where p_brand = 'Brand#17'")
 def props_valued(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    hit = g.props.filter("key = 'brand' and val_str = 'Brand#13'").select(F.col("parent").alias("id"))
+    hit = g.props.filter("key = 'brand' and val_str = 'Brand#17'").select(F.col("parent").alias("id"))
     return g.nodes.join(hit, "id", "left_semi").select(F.col("value").cast("long").alias("partkey"))
 
 
