@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import shutil
 import uuid
@@ -32,28 +33,29 @@ class Refused(PermissionError):
 
 @dataclass(frozen=True)
 class Who:
-    """Whoever asks: a user and roles, as words of a text. None of either sees only graphs without roles."""
+    """Whoever asks: a user, and the roles in which they ask (none: in any they have)."""
 
-    user: str = ""
-    role: str = ""
+    user: str | None = None
+    roles: tuple[str, ...] = ()
 
-    def roles_of(self, meta: dict[str, Any]) -> set[str]:
-        """The graph's roles that its ``user_roles`` give to this user, and those named outright."""
-        given = meta.get("user_roles", {})
-        mine = {r for u in _words(self.user) for r in (given.get(u, []) if isinstance(given, dict) else [])}
-        return mine | set(_words(self.role))
 
-
-def _words(text: str) -> list[str]:
-    return list(dict.fromkeys(w for w in re.split(r"\W+", text) if w))
+def roles_of(meta: dict[str, Any], user: str) -> set[str]:
+    """The roles that a graph's ``roles`` gives a user: the keys of an object with a true value, or the words of anything else."""
+    roles = meta.get("roles")
+    given = roles.get(user) if isinstance(roles, dict) else None
+    if isinstance(given, dict):
+        return {k for k, v in given.items() if v}
+    if given is None:
+        return set()
+    return {w for w in re.split(r"\W+", given if isinstance(given, str) else json.dumps(given)) if w}
 
 
 def allowed(meta: dict[str, Any], who: Who) -> bool:
-    """Whether a graph is open to someone: always without ``roles``, else by a role or by the user's name."""
-    roles = meta.get("roles")
-    if not isinstance(roles, dict) or not roles:
+    """A graph without ``roles`` is open to all; else the user must have a role of it, one of those asked for if any are."""
+    if "roles" not in meta:
         return True
-    return bool(who.roles_of(meta) & set(roles)) or bool(set(_words(who.user)) & set(roles))
+    have = roles_of(meta, who.user) if who.user else set()
+    return bool(have & set(who.roles)) if who.roles else bool(have)
 
 
 class Store:
@@ -256,4 +258,4 @@ def matches(spark: SparkSession, objects: Sequence[Any], texts: Sequence[str]) -
     return [r.ok for r in df.select("i", ok.alias("ok")).orderBy("i").collect()]
 
 
-__all__ = ["Refused", "Store", "Who", "allowed", "matches"]
+__all__ = ["Refused", "Store", "Who", "allowed", "matches", "roles_of"]
