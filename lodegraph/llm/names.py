@@ -178,7 +178,7 @@ class Givens:
         return word in self.formal or word in self.nicks or bool(self.typo(word)) or self.counts.get(word, 0) > 0
 
     def typo(self, word: str) -> list[str]:
-        if len(word) < 4:
+        if not 4 <= len(word) <= spelling.LONGEST:
             return []
         return sorted({f for k in spelling.deletes(word) for f in self.keys.get(k, ()) if spelling.within(word, f, 2 if len(f) > 7 else 1)})
 

@@ -51,11 +51,15 @@ def within(a: str, b: str, most: int = 2) -> bool:
     return row[-1] <= most
 
 
+#: Longer words have no near spellings: a name of that length is one only if it is equal.
+LONGEST = 64
+
+
 def delete_keys(word: Column) -> Column:
-    """``deletes`` as a column of arrays."""
+    """``deletes`` as a column of arrays; only the word itself if it is of three letters or fewer, or longer than ``LONGEST``."""
     at = F.sequence(F.lit(1), F.length(word))
     cut = F.transform(at, lambda i: F.concat(word.substr(F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) > 3, cut).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word).between(4, LONGEST), cut).otherwise(F.array().cast("array<string>"))))
 
 
 def cluster_spellings(words: DataFrame, block: Sequence[str], word: str, weight: str, ratio: float = 3.0, rounds: int = 2) -> DataFrame:
@@ -68,8 +72,8 @@ def cluster_spellings(words: DataFrame, block: Sequence[str], word: str, weight:
     itself; equal weights go by the alphabet. Whoever it follows may follow another, ``rounds`` times.
 
     No pairs are formed: each edit key elects its heaviest word, and each word asks its
-    own keys, so the cost is one row per letter and word. Short words (three letters
-    and fewer) are never merged.
+    own keys, so the cost is one row per letter and word. Words of three letters and
+    fewer, and of more than ``LONGEST``, are never merged.
     """
     block = list(block)
     w = words.select(*block, F.col(word).alias("_w"), F.col(weight).cast("double").alias("_n"))
