@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -55,11 +56,15 @@ _SPACED = (
 _FIRM_WORDS = {k for k in LEGAL if k not in ("sa", "bv", "tr", "ag", "nv", "lim")} | set(LINES)
 
 
+_NEAR_LINES, _NEAR_LEGAL = spelling.Near(LINES), spelling.Near(k for k in LEGAL if len(k) >= 6)
+
+
 def _letters_in_order(short: str, word: str) -> bool:
     it = iter(word)
     return short[0] == word[0] and all(c in it for c in short)
 
 
+@lru_cache(1 << 16)
 def line_of(word: str) -> str | None:
     """The line of business that a word stands for, abbreviations and single typing errors included."""
     if word in LINES:
@@ -72,7 +77,7 @@ def line_of(word: str) -> str | None:
         return begin[0] if len(begin) == 1 or len(word) >= 3 else None
     if len(word) <= 8 and (hits := [x for x in LINES if _letters_in_order(word, x) and not set(word[1:]) <= set("aeiou")]) and not _pronounceable(word):
         return min(hits, key=len)
-    return next((x for x in LINES if len(word) >= 5 and spelling.within(word, x, 1)), None)
+    return next(iter(_NEAR_LINES.find(word)), None) if len(word) >= 5 else None
 
 
 def _pronounceable(word: str) -> bool:
@@ -80,10 +85,11 @@ def _pronounceable(word: str) -> bool:
     return sum(c in "aeiouy" for c in word) * 3 >= len(word) and len(word) > 4
 
 
+@lru_cache(1 << 16)
 def legal_of(word: str) -> str | None:
     if word in LEGAL:
         return LEGAL[word]
-    return next((v for k, v in LEGAL.items() if len(k) >= 6 and len(word) >= 5 and spelling.within(word, k, 1)), None)
+    return LEGAL[near[0]] if len(word) >= 5 and (near := _NEAR_LEGAL.find(word)) else None
 
 
 def series_of(word: str) -> int | None:

@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.session import materialize
 
+#: Longer words have no near spellings: a name of that length is one only if it is equal.
+LONGEST = 64
 # Digits that scanners put for letters.
 SCANNED = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "8": "b", "9": "g"})
+_ACCENTS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 _MIXED = re.compile(r"(?=\w*[^\W\d_]{2})\w*\d\w*")
 
 
 def plain(text: str) -> str:
     """Lower case without accents; ß becomes ss."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+    if text.isascii():
+        return text.lower()
+    return _ACCENTS.sub("", unicodedata.normalize("NFKD", text.casefold()))
 
 
 def unscan(word: str) -> str:
@@ -33,6 +38,23 @@ def deletes(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+class Near:
+    """Words of a small list, found again with one edit."""
+
+    def __init__(self, words: Iterable[str]):
+        self.keys: dict[str, list[str]] = {}
+        for w in words:
+            for k in sorted(deletes(w)):
+                self.keys.setdefault(k, []).append(w)
+
+    def find(self, word: str) -> list[str]:
+        """The words at most one edit away, by the alphabet."""
+        if len(word) > LONGEST:
+            return []
+        hits = {w: None for k in deletes(word) for w in self.keys.get(k, ()) if within(word, w, 1)}
+        return sorted(hits)
+
+
 def within(a: str, b: str, most: int = 2) -> bool:
     """Whether at most ``most`` edits lead from a to b; swapped neighbours are one edit."""
     if abs(len(a) - len(b)) > most:
@@ -51,10 +73,6 @@ def within(a: str, b: str, most: int = 2) -> bool:
     return row[-1] <= most
 
 
-#: Longer words have no near spellings: a name of that length is one only if it is equal.
-LONGEST = 64
-
-
 def delete_keys(word: Column) -> Column:
     """``deletes`` as a column of arrays; only the word itself if it is of three letters or fewer, or longer than ``LONGEST``."""
     at = F.sequence(F.lit(1), F.length(word))
