@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect
 from collections import Counter, deque
 from collections.abc import Iterator
 
@@ -41,6 +42,10 @@ _MENU = re.compile(r"[|>»›·•]|(?<=\s)[/–-](?=\s)|\b(?:home|related|tags?
 _WORD = re.compile(r"[^\W_]+")
 _DOMAIN = re.compile(r"://|^www\.|\[\.\]| dot |\.[a-z]{2,}(?:/|$)", re.I)
 
+# What any link, and any tag or menu, has: most lines have neither and need no closer look.
+_DOTTED = re.compile(r"[^\s.][.][^\s.]|://|\[\.\]| dot ")
+_MARKED = re.compile(r"[#+~@*•>|»›·_/–-]|home|related|tag")
+
 # Bins of each feature: grammar words, links, advertising, marks, repeated words (the last: repeated at once).
 BINS = (4, 3, 3, 3, 4)
 #: Where the model starts: for each state the chance of each bin, feature by feature.
@@ -61,37 +66,36 @@ def pieces(text: str) -> tuple[list[list[int]], list[int]]:
     Words are runs of letters and digits, so a link counts as the words it is made of.
     Lines without any are left out.
     """
-    lines: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    found = []
     for line in plain(text).split("\n"):
         parts = line.split(" ")
         for i in range(0, len(parts), PIECE):
             piece = " ".join(parts[i : i + PIECE])
-            if n := len(_WORD.findall(piece)):
-                lines.append((piece, n))
-    count: Counter[str] = Counter()
-    found = []
-    for piece, n in lines:
-        links = [m for m in _LINK.findall(piece) if _DOMAIN.search(m)]
-        rest = piece
-        for m in links:
-            rest = rest.replace(m, " ", 1)
-        words = _WORD.findall(rest)
-        content = [w for w in words if w not in GRAMMAR and not w.isdigit()]
-        count.update(content)
-        found.append((piece, n, links, words, content))
+            words = _WORD.findall(piece)
+            if not words:
+                continue
+            n, links = len(words), []
+            if _DOTTED.search(piece) and (links := [m for m in _LINK.findall(piece) if _DOMAIN.search(m)]):
+                rest = piece
+                for m in links:
+                    rest = rest.replace(m, " ", 1)
+                words = _WORD.findall(rest)
+            content = [w for w in words if w not in GRAMMAR and not w.isdigit()]
+            count.update(content)
+            found.append((piece, n, links, words, content))
     features, sizes = [], []
     latest: deque[str] = deque(maxlen=PIECE)
     for piece, n, links, words, content in found:
-        linked = sum(len(_WORD.findall(m)) for m in links) / n
-        grammar = sum(w in GRAMMAR for w in words) / n
-        cues = sum(w in CUES for w in words) / n
-        marks = (2 * len(_TAGGED.findall(piece)) + len(_MENU.findall(piece)) + piece.count("_")) / n
-        again = sum(count[w] > 2 for w in content) / len(content) if content else 0.0
+        linked = sum(len(_WORD.findall(m)) for m in links) / n if links else 0.0
+        grammar = len([w for w in words if w in GRAMMAR]) / n
+        cues = len([w for w in words if w in CUES]) / n
+        marks = (2 * len(_TAGGED.findall(piece)) + len(_MENU.findall(piece)) + piece.count("_")) / n if _MARKED.search(piece) else 0.0
+        again = len([w for w in content if count[w] > 2]) / len(content) if content else 0.0
         latest.extend(content)
         at_once = again >= 0.7 and len(latest) > 5 and len(set(latest)) <= 0.55 * len(latest)
         features.append([
-            int(np.searchsorted((0.08, 0.22, 0.36), grammar, "right")), int(np.searchsorted((0.1, 0.4), linked, "right")),
-            int(np.searchsorted((0.001, 0.12), cues, "right")), int(np.searchsorted((0.05, 0.2), marks, "right")), 3 if at_once else int(np.searchsorted((0.34, 0.7), again, "right")),
+            bisect((0.08, 0.22, 0.36), grammar), bisect((0.1, 0.4), linked), bisect((0.001, 0.12), cues), bisect((0.05, 0.2), marks), 3 if at_once else bisect((0.34, 0.7), again),
         ])
         sizes.append(n)
     return features, sizes
