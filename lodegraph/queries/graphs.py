@@ -11,6 +11,8 @@ from lodegraph.algo.components import spanning_forest
 from lodegraph.algo.paths import closure, costs, hops
 from lodegraph.expand.policy import guided_priority
 from lodegraph.expand.source import fetch, peek, semi_join_chain
+from lodegraph.expand.tasks import alert_targets, connect_targets
+from lodegraph.rank.features import test_tasks
 from lodegraph.rank.metrics import by_task, capped, per_group, summary, weights
 from lodegraph.session import table
 
@@ -137,3 +139,36 @@ def cost_summary(spark: SparkSession, d: str) -> DataFrame:
 @add("offered_by_task", "with g as (select task, run, avg(offered) as m from batches group by 1, 2) select task, round(avg(m), 6) as mean from g group by 1")
 def offered_by_task(spark: SparkSession, d: str) -> DataFrame:
     return by_task(table(spark, d, "batches"), "task", "run", "offered").withColumn("mean", F.round("mean", 6))
+
+
+@add("alert_targets", """
+with officer as (select id, min(domain)::varchar as country from entities where id is not null and domain is not null group by id),
+e as (select distinct id as x, nbr as y from adj where rel = 0 and id is not null and nbr is not null),
+co as (select s.x as id, f.y as o from e s join e f on f.x = s.y where f.y <> s.x),
+c as (select co.id, country, count(*) as n from co join officer on officer.id = co.o group by 1, 2),
+k as (select c.*, sum(n) over (partition by c.id) as all_n from c)
+select k.id, arg_min(k.country, (n, k.country)) as country, min(n) as n from k left join officer own on own.id = k.id where all_n >= 5 and k.country is distinct from own.country group by k.id""")
+def alert_targets_query(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "entities").filter("id is not null and domain is not null").groupBy("id").agg(F.min("domain").cast("string").alias("country"))
+    return alert_targets(table(spark, d, "adj"), ids, 0, 5)
+
+
+@add("connect_targets", """
+with recursive e as (select distinct id, nbr from adj where id is not null and nbr is not null), walk as (select 1044::bigint as id, 0 as hops union select e.nbr, hops + 1 from walk join e using (id) where hops < 4),
+near as (select id, min(hops) as hops from walk group by id)
+select id, hops from near where hops >= 3 and id in (select id from entities where domain = 1)""")
+def connect_targets_query(spark: SparkSession, d: str) -> DataFrame:
+    return connect_targets(_edges(spark, d), 1044, table(spark, d, "entities").filter("domain = 1"), 3, 4)
+
+
+@add("sibling_split", None)
+def sibling_split(spark: SparkSession, d: str) -> DataFrame:
+    return test_tasks(table(spark, d, "tasks"), 0.2)
+
+
+@add("wire_lines", None)
+def wire_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of each call as JSON lines, infinite priorities as null."""
+    c = table(spark, d, "candidates").filter("grp is not null")
+    finite = F.when(F.col("prior").between(-1.7e308, 1.7e308), F.col("prior"))
+    return c.select("grp", F.to_json(F.struct("id", "domain", "peek", "hops", "cost", finite.alias("priority")), {"ignoreNullFields": "false"}).alias("line"))
