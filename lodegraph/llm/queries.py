@@ -94,7 +94,32 @@ with best as (
 ranked as (select grp, id, prior, row_number() over (partition by grp order by prior desc, id) as rank from best)
 """
 
+
+
+def _key(c: str) -> str:
+    """A name's key in SQL: words and numbers joined by dots, without leading zeros."""
+    x = f"regexp_replace(lower({c}), '[^a-z0-9]+', '.', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '([a-z])([0-9])', '\\1.\\2', 'g'), '([0-9])([a-z])', '\\1.\\2', 'g')"
+    return f"nullif(regexp_replace(trim({x}, '.'), '(^|\\.)0+([0-9])', '\\1\\2', 'g'), '')"
+
+
+_ANCHORS = f"""
+with recursive named as (select grp, {_key("run")} as r, {_key("task")} as t from batches where grp is not null),
+calls as (select distinct grp, r, coalesce(t, array_to_string(string_split(r, '.')[1:3], '.')) as t from named),
+has as (select t, min(grp) as low from calls where t is not null group by t),
+seeds as (select distinct {_key("task")} as t, unnest(seeds) as seed from tasks),
+links as (
+  select a.t as a, b.t as b from seeds a join seeds b using (seed) where seed is not null and a.t <> b.t
+  union select a.t, b.t from calls a join calls b using (r) where a.t <> b.t
+  union select a.t, b.t from calls a join calls b using (grp) where a.t <> b.t),
+live as (select a, b from links where a in (select t from has) and b in (select t from has)),
+reach as (select t as a, t as b from has union select reach.a, live.b from reach join live on reach.b = live.a),
+root as (select a as t, min(low) as anchor from reach join has on has.t = reach.b group by a),
+anchors as (select grp, min(coalesce(anchor, grp)) as anchor from calls left join root using (t) group by grp)
+"""
+
 ORACLES: dict[str, str] = {
+    "p5_found": _ANCHORS + "select grp, anchor from anchors where grp <> anchor",
     "p3_found": _BEST + "select grp, id from ranked where rank <= 5",
     "p3_top_ranked": _BEST + "select grp, id, prior, rank from ranked where rank <= 5",
 }
