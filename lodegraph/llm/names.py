@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 from lodegraph.llm import spelling
 from lodegraph.session import materialize
 
-# Lines of business, and abbreviations that are neither their beginnings
-# nor their letters in order.
+# Lines of business, those of them that are also abbreviated first, and
+# abbreviations that no rule below yields.
 LINES = (
     "fund", "properties", "holdings", "ventures", "trading", "management", "consulting", "marine", "textiles", "logistics", "services", "capital",
-    "shipping", "nominees", "resources", "investments", "aviation", "international", "partners", "industries", "enterprises", "group", "finance", "energy",
+    "shipping", "nominees", "resources", "investments", "aviation", "international",
+)
+MORE_LINES = (
+    "partners", "industries", "enterprises", "group", "finance", "energy",
     "minerals", "estates", "securities", "technologies", "associates", "development", "equities", "brokers", "commodities", "insurance", "agency", "advisors",
 )
-LINE_SHORT = {"fd": "fund", "fnd": "fund", "int": "international", "intl": "international", "invs": "investments", "inv": "investments", "res": "resources", "cons": "consulting", "mgt": "management", "man": "management", "holding": "holdings", "svc": "services", "mar": "marine"}
+LINE_SHORT = {"fd": "fund", "fnd": "fund", "int": "international", "intl": "international", "invs": "investments", "inv": "investments", "res": "resources", "cons": "consulting", "mgt": "management", "man": "management", "holding": "holdings", "svc": "services", "mar": "marine", "avn": "aviation"}
 # Legal forms as written, without dots and spaces.
 LEGAL = {
     "sa": "sa", "socanon": "sa", "llc": "llc", "gmbh": "gmbh", "gesellschaftmbh": "gmbh", "bv": "bv", "foundation": "foundation", "found": "foundation", "fdn": "foundation",
@@ -37,7 +40,7 @@ LEGAL = {
 }
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "hon", "capt", "adv", "sir", "dame", "rev", "lord", "lady", "esq", "col", "maj", "lt", "gen", "mx", "eng", "atty"}
 REMARKS = {"deceased", "jr", "sr", "nominee", "as", "trustee", "executor", "the", "retd", "ii", "iii"}
-PARTICLES = {"van", "de", "al", "der", "den", "von", "la", "le", "du", "di", "da", "del", "el", "bin", "ibn", "dos", "ter", "ten", "zu", "st"}
+PARTICLES = {"van", "de", "al", "der", "den", "von", "la", "le", "du", "di", "da", "del", "el", "bin", "ibn", "dos", "ter", "ten", "zu", "st", "d3", "a1", "vn", "va", "vna", "vaan", "vann"}
 # Usual short forms that no rule below yields, beside those of the table given.
 MORE_NICKS = {
     "ned": ("edward",), "ed": ("edward",), "maggie": ("margaret",), "peg": ("margaret",), "klaus": ("nicholas",), "kate": ("katherine",), "katie": ("katherine",), "bob": ("robert",), "bert": ("albert",),
@@ -49,14 +52,15 @@ MORE_NICKS = {
     "chuck": ("charles",), "topher": ("christopher",), "kester": ("christopher",), "josh": ("joshua",), "posy": ("josephine",), "fina": ("josephine",), "ike": ("isaac",), "belle": ("isabella",), "ibby": ("isabella",), "gail": ("abigail",), "quin": ("quentin",), "quinn": ("quentin",), "len": ("leonard",), "lenny": ("leonard",),
 }
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12, "xiii": 13, "xiv": 14, "xv": 15}
+_INNER = re.compile(r"(?<=\w)['’`](?=\w)")
 _SPACED = (
     (re.compile(r"\bgesellschaft\s+m\.?\s?b\.?\s?h\b\.?"), " gmbh "), (re.compile(r"\bsoc\.?\s*anon\b\.?"), " socanon "), (re.compile(r"\bg\.\s?m\.\s?b\.\s?h\b\.?"), " gmbh "), (re.compile(r"\bl\.\s?l\.\s?c\b\.?"), " llc "),
     (re.compile(r"\bb\.?\s?v\b\.?"), " bv "), (re.compile(r"\bs\.?\s?a\b\.?"), " sa "), (re.compile(r"\bl\s?l\s?c\b"), " llc "), (re.compile(r"\bg\s?m\s?b\s?h\b"), " gmbh "),
 )
-_FIRM_WORDS = {k for k in LEGAL if k not in ("sa", "bv", "tr", "ag", "nv", "lim")} | set(LINES)
+_FIRM_WORDS = {k for k in LEGAL if k not in ("sa", "bv", "tr", "ag", "nv", "lim")} | set(LINES) | set(MORE_LINES)
 
 
-_NEAR_LINES, _NEAR_LEGAL = spelling.Near(LINES), spelling.Near(k for k in LEGAL if len(k) >= 6)
+_NEAR_LINES, _NEAR_LEGAL = spelling.Near(LINES + MORE_LINES), spelling.Near(k for k in LEGAL if len(k) >= 6)
 
 
 def _letters_in_order(short: str, word: str) -> bool:
@@ -67,7 +71,7 @@ def _letters_in_order(short: str, word: str) -> bool:
 @lru_cache(1 << 16)
 def line_of(word: str) -> str | None:
     """The line of business that a word stands for, abbreviations and single typing errors included."""
-    if word in LINES:
+    if word in LINES or word in MORE_LINES:
         return word
     if word in LINE_SHORT:
         return LINE_SHORT[word]
@@ -81,8 +85,8 @@ def line_of(word: str) -> str | None:
 
 
 def _pronounceable(word: str) -> bool:
-    """Whether vowels stand between most consonants, as in a word and not in an abbreviation."""
-    return sum(c in "aeiouy" for c in word) * 3 >= len(word) and len(word) > 4
+    """Whether a third of the letters are vowels, as in a name and not in an abbreviation."""
+    return sum(c in "aeiouy" for c in word) * 3 >= len(word)
 
 
 @lru_cache(1 << 16)
@@ -98,7 +102,7 @@ def series_of(word: str) -> int | None:
 
 def organisation(name: str) -> dict | None:
     """Core, line, number and legal form of an organisation's name; None if it isn't one."""
-    s = spelling.plain(name)
+    s = _INNER.sub("", spelling.plain(name))
     for pattern, to in _SPACED:
         s = pattern.sub(to, s)
     tokens = [spelling.unscan(t) if not t.isdigit() else t for t in re.findall(r"[^\W_]+", s)]
@@ -124,7 +128,7 @@ def person_tokens(name: str) -> tuple[list[str], list[str]]:
 
     Titles, remarks, particles and what stands in brackets are left out.
     """
-    s = re.sub(r"\([^)]*\)?", " ", spelling.plain(name))
+    s = re.sub(r"\([^)]*\)?", " ", _INNER.sub("", spelling.plain(name)))
     # A hyphen joins the halves of one name, but not a particle and its name.
     s = re.sub(r"\b(al|el)-", r"\1 ", s)
     s = re.sub(r"(?<=\w\w)-(?=\w)", "", s)
@@ -308,7 +312,9 @@ def same_name(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     forms = names.select("value").mapInPandas(_rewriter(given_names(names), nicks), _FORMS)
     forms = materialize(forms.join(names, "value"), "forms")
     cores = forms.groupBy("rest", "core").agg(F.sum("n").alias("n"))
-    usual = spelling.cluster_spellings(cores, ["rest"], "core", "n")
+    # A particle written onto the family name: the name without it is one more key.
+    bare = lambda w: F.array(*[F.when(w.startswith(p) & (F.length(w) >= len(p) + 6), F.substring(w, len(p) + 1, spelling.LONGEST)) for p in ("al", "de", "van")])
+    usual = spelling.cluster_spellings(cores, ["rest"], "core", "n", more=bare)
     forms = materialize(forms.join(usual, ["rest", "core"]), "forms")
     # Names of one signature are one row from here on, however many records have them.
     sigs = materialize(forms.groupBy("rest", "canonical", "sig").agg(F.sum("n").alias("n"), F.first("forms").alias("forms"), F.first("initial").alias("initial")), "sigs")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,14 +80,15 @@ def delete_keys(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.when(F.length(word).between(4, LONGEST), cut).otherwise(F.array().cast("array<string>"))))
 
 
-def cluster_spellings(words: DataFrame, block: Sequence[str], word: str, weight: str, ratio: float = 3.0, rounds: int = 2) -> DataFrame:
+def cluster_spellings(words: DataFrame, block: Sequence[str], word: str, weight: str, ratio: float = 3.0, rounds: int = 2, more: Callable[[Column], Column] | None = None) -> DataFrame:
     """``block``, ``word`` and ``canonical``: the usual spelling that each rarer one stands for.
 
     ``words`` has one row per block and word with its ``weight``. Two spellings are near
     if both become the same by leaving out at most one letter each, which covers one
     edit, a swap and some pairs of edits. A word follows its heaviest near spelling of
     the same block if that outweighs it ``ratio`` times, or if it occurs at most twice
-    itself; equal weights go by the alphabet. Whoever it follows may follow another, ``rounds`` times.
+    itself; equal weights go by the alphabet. ``more`` adds keys to a word's own, for
+    other ways to be near. Whoever it follows may follow another, ``rounds`` times.
 
     No pairs are formed: each edit key elects its heaviest word, and each word asks its
     own keys, so the cost is one row per letter and word. Words of three letters and
@@ -95,7 +96,10 @@ def cluster_spellings(words: DataFrame, block: Sequence[str], word: str, weight:
     """
     block = list(block)
     w = words.select(*block, F.col(word).alias("_w"), F.col(weight).cast("double").alias("_n"))
-    keys = w.withColumn("_key", F.explode(delete_keys(F.col("_w"))))
+    every = delete_keys(F.col("_w"))
+    if more is not None:
+        every = F.array_distinct(F.concat(every, F.filter(more(F.col("_w")), lambda k: k.isNotNull())))
+    keys = w.withColumn("_key", F.explode(every))
     # Of equal weights the first by the alphabet must win, so the order of weights is turned and the least taken.
     low = F.struct((-F.col("_n")).alias("m"), F.col("_w").alias("w"))
     best = keys.groupBy(*block, "_key").agg(F.min(low).alias("_best"), F.count("*").alias("_c")).filter("_c > 1")
