@@ -22,7 +22,12 @@ def _once(spark: SparkSession, d: str, what: str, build) -> DataFrame:
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, d, "trade", lambda: materialize(derive_next(_trade(spark, d)), "history"))
+    return _once(spark, d, "trade", lambda: _laid_out(derive_next(_trade(spark, d))))
+
+
+def _laid_out(h: DataFrame) -> DataFrame:
+    """Files by kind, each sorted by type, key and value: views read one kind, filters skip row groups."""
+    return materialize(h.sortWithinPartitions("kind", "type", "key", "val_str", "val_num"), "history", by="kind")
 
 
 def graph(spark: SparkSession, d: str, before: int | None = None) -> View:

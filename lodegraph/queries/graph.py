@@ -11,6 +11,7 @@ from lodegraph import natives
 from lodegraph.lgql import match, standing
 from lodegraph.log import View, derive_next, update_ids
 from lodegraph.plans.trade import STEP, event_history, graph, history
+from lodegraph.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,7 +171,7 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     doomed = match(View(history(spark, d)), 'n(type="customer", mktsegment="HOUSEHOLD")').select("n1_id")
     top = h.agg(F.max("id").alias("top"))
     rows = doomed.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n1_id")).alias("id"), F.lit("deletion").alias("kind"), F.col("n1_id").alias("target"))
-    v = View(derive_next(h.unionByName(rows, allowMissingColumns=True)))
+    v = View(materialize(derive_next(h.unionByName(rows, allowMissingColumns=True)), "cascade", by="kind"))
     mine = v.nodes.filter("type = 'customer'")
     n = mine.agg(F.count("*").alias("customers"))
     e = v.edges.filter("type = 'placed'").agg(F.count("*").alias("placed"))

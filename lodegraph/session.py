@@ -34,15 +34,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet below the scratch folder and read it back.
+def materialize(df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below the scratch folder and read it back; ``by`` names a column to partition the files by.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
     anything that depends on task order (generated ids) is fixed by the write.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lodegraph-tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
