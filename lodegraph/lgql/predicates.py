@@ -104,6 +104,23 @@ def holds(test: Test, v: Value) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def implied(test: Test, v: Value) -> Column:
+    """What follows from ``holds`` and can be decided from file statistics: a plain comparison with literals, else true.
+
+    Whole numbers that are equal or ordered are so as doubles too, except that strict order may become equality.
+    """
+    numbers = [float(x) for x in test.args if isinstance(x, (int, float)) and not isinstance(x, bool)]
+    strings = [x for x in test.args if isinstance(x, str)]
+    if test.op == "in" and test.args and len(strings) == len(test.args):
+        return v["str"].isin(*strings) if len(strings) > 1 else v["str"] == strings[0]
+    if test.op == "in" and test.args and len(numbers) == len(test.args):
+        return v["num"].isin(*numbers) if len(numbers) > 1 else v["num"] == numbers[0]
+    if test.op in ("<", "<=", ">", ">="):
+        c, x = (v["str"], strings[0]) if strings else (v["num"], numbers[0])
+        return c <= x if test.op[0] == "<" else c >= x
+    return F.lit(True)
+
+
 SCALARS = {"ID": ("id", number), "type": ("type", string), "value": ("value", string)}
 ENDS = {"src": "src", "tgt": "tgt", "srcID": "src", "tgtID": "tgt"}
 
@@ -137,6 +154,22 @@ def native(kind: str, path: tuple[str, ...]) -> Native | None:
     return None
 
 
+def properties(props: DataFrame, f: Filter) -> DataFrame:
+    """The property rows that make a filter hold."""
+    own = F.col("key") == f.path[0]
+    if len(f.path) == 1:
+        own = own & implied(f.test, stored())
+    return props.filter(own & holds(f.test, descend(stored(), f.path[1:])))
+
+
+def constant(f: Filter, v: Value) -> Column:
+    """A filter on a row's own column."""
+    if f.path == ("ID",) and f.test.op == "in":
+        ids = [int(x) for x in f.test.args if isinstance(x, (int, float)) and not isinstance(x, bool) and x == int(x) and abs(x) < 2**63]
+        return F.col("id").isin(*ids) if ids else F.lit(False)
+    return implied(f.test, v) & holds(f.test, v)
+
+
 def narrow(view: View, kind: str, rows: DataFrame, f: Filter) -> DataFrame:
     """The rows of nodes (``n``) or edges (``e``) that pass a filter. Each row stays once: property filters are semi-joins."""
     first = f.path[0]
@@ -145,10 +178,10 @@ def narrow(view: View, kind: str, rows: DataFrame, f: Filter) -> DataFrame:
         return rows.join(ends, F.col(first) == F.col("_end"), "left_semi")
     n = native(kind, f.path)
     if n is None:
-        has = view.props.filter((F.col("key") == first) & holds(f.test, descend(stored(), f.path[1:]))).select(F.col("parent").alias("_of"))
+        has = properties(view.props, f).select(F.col("parent").alias("_of"))
         return rows.join(has, F.col("id") == F.col("_of"), "left_semi")
     if n.constant is not None:
-        return rows.filter(holds(f.test, n.constant))
+        return rows.filter(constant(f, n.constant))
     if n.name == "neighbor_types":
         table, column = natives.neighbour_types(view).filter(F.col("type") == f.path[1]), "n"
     elif n.name in natives.NEIGHBOURS:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodegraph import natives
 from lodegraph.lgql.compiler import Chain, as_chain
 from lodegraph.lgql.parser import Filter, Pattern, parse
-from lodegraph.lgql.predicates import descend, holds, native, number, stored
+from lodegraph.lgql.predicates import constant, holds, native, number, properties
 
 #: Beyond every position: the end of what has not ended.
 OPEN = (1 << 63) - 1
@@ -86,10 +86,10 @@ def filter_spans(history: DataFrame, kind: str, f: Filter) -> DataFrame | Column
         return e.join(inner, F.col("_end") == F.col("id")).select("obj", "f", "t")
     n = native(kind, f.path)
     if n is None:
-        p = _spans(history, "prop").filter((F.col("key") == first) & holds(f.test, descend(stored(), f.path[1:])))
+        p = properties(_spans(history, "prop"), f)
         return p.select(F.col("parent").alias("obj"), "f", "t")
     if n.constant is not None:
-        return holds(f.test, n.constant)
+        return constant(f, n.constant)
     starts = _spans(history, "node").select(F.col("id").alias("obj"), F.col("id").alias("at"), "t")
     passes = holds(f.test, number(F.col("n")))
     if n.name == "neighbor_types":
