@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.llm import addresses, mixing, names, packing, spam, spelling, splits, tokens, topn
+from lodegraph.llm import addresses, duplicates, mixing, names, packing, spam, spelling, splits, tokens, topn
 
 ENT = "id long, domain tinyint, text string, seen_at string, value string"
 DOC = "doc_id long, text string, source string, reissue_of long, tokens string"
@@ -183,6 +183,30 @@ def test_packing(spark):
         packing.pack(d, spark.createDataFrame([("x", 0)], "name string, capacity_tokens int"))
 
 
+def test_near_duplicates_are_apart(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base = [[r.choice(words) for _ in range(r.randrange(1, 90))] for _ in range(60)]
+    texts = {i: " ".join(b) for i, b in enumerate(base)}
+    for i, b in enumerate(base):  # further texts with a few words changed, at an end or inside
+        for j in range(3):
+            c = ["Corrected", "reissue", *b] if j == 0 else [r.choice(words) if r.random() < 0.03 else w for w in b]
+            texts[100 * (j + 1) + i] = " ".join(c)
+    texts |= {1000: "!?", 1001: " ! ? ", 1002: "! ?", 1003: "short one", 1004: "Short  one!", 1005: None, 1006: ""}
+    d = documents(spark, [(i, t, None, {1003: 1005, 7: 8}.get(i)) for i, t in texts.items()] + [(None, "short one", None, None)])
+    shingles = {i: set(duplicates.runs(t).tolist()) for i, t in texts.items() if t and t.strip()}
+    root = {i: i for i in texts}
+    near = {(a, b) for a, b in itertools.combinations(sorted(shingles), 2) if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])}
+    for _ in texts:
+        for a, b in near | {(1003, 1005), (7, 8)}:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.node: x.root for x in duplicates.clusters(d).collect()}
+    assert len(near) > 40 and {i: got.get(i, i) for i in texts} == root
+    assert duplicates.clusters(d.limit(0)).count() == 0
+    where = {x.doc_id: x.container for x in packing.pack(d, spark.createDataFrame([("x", 2048)], "name string, capacity_tokens int")).collect()}
+    assert all(where[a] != where[b] for a, b in near)
+
+
 def test_tokens_of_long_texts():
     enc = tokens.encoding(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
     t = "the harbour dredging levy is late " * 20_000
