@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm import spelling
@@ -187,6 +187,11 @@ class Givens:
     def known(self, word: str) -> bool:
         return word in self.formal or word in self.nicks or bool(self.typo(word)) or self.counts.get(word, 0) > 0
 
+    def opens(self, word: str) -> float:
+        """How many names a word opens, itself or as what it may stand for."""
+        own = max([self.counts.get(word, 0), *(1 + self.counts.get(f, 0) for f in self.nicks.get(word, ()))])
+        return float(own) or 0.5 * max((self.counts.get(f, 0) for f in self.typo(word)), default=0)
+
     def typo(self, word: str) -> list[str]:
         if not 4 <= len(word) <= spelling.LONGEST:
             return []
@@ -224,55 +229,118 @@ class Givens:
         return tuple((f, 0.5 / len(near)) for f in near) or ((word, 1.0),)
 
 
-_FORMS = "value string, core string, rest string, sig string, forms array<struct<form:string,weight:double>>, initial boolean"
+_FORMS = "value string, core string, rest string, sig string, forms array<struct<form:string,weight:double>>, initial boolean, chance double"
+#: A word that opens so many names is a given name beside one that opens none: then their order is certain.
+CERTAIN = 8
 
 
 def _rewriter(counts: dict[str, int], nicks: list[tuple[str, str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         givens = Givens(counts, nicks)
         for pdf in batches:
-            yield pd.DataFrame([r for v in pdf["value"] if (r := rewrite(v, givens))], columns=["value", "core", "rest", "sig", "forms", "initial"])
+            yield pd.DataFrame([r for v in pdf["value"] for r in rewrite(v, givens)], columns=["value", "core", "rest", "sig", "forms", "initial", "chance"])
 
     return run
 
 
-def rewrite(name: str, givens: Givens) -> tuple | None:
-    """A name as (itself, core, rest, signature, forms with weights, whether only an initial is known).
+def _likeliest(rest: list[str], givens: Givens) -> tuple[list[str], list[str]]:
+    """Given and family names without a comma: initials and known given names on the outside, the family name is the rest."""
+    marks = [len(t) == 1 or givens.known(t) for t in rest]
+    if len(rest[0]) == 1 or (marks[0] and not all(marks)) or all(marks) or not any(marks):
+        n = 1
+        while n < len(rest) - 1 and len(rest[n]) == 1:
+            n += 1
+        given, family = rest[:n], rest[n:]
+        if len(family) > 1 and len(family[-1]) == 1 and not marks[0]:
+            given, family = rest[-1:], rest[:-1]
+    else:
+        n = len(rest)
+        while n > 1 and marks[n - 1]:
+            n -= 1
+        given, family = rest[n:], rest[:n]
+        if not given:
+            given, family = rest[:1], rest[1:]
+    return given, family
+
+
+def readings(rest: list[str], givens: Givens) -> list[tuple[list[str], list[str], float]]:
+    """Given names, family name and chance of every way to read the words of a name without a comma.
+
+    Both orders, unless an initial opens the name or only one of its outer words is
+    found to open names; with given names in the middle, also the cut behind them. The
+    chance goes by how many names the given name opens, and where initials stand.
+    """
+    likeliest = _likeliest(rest, givens)
+    full = [i for i, t in enumerate(rest) if len(t) > 1]
+    if len(full) < 2:
+        return [(*likeliest, 1.0)]
+    first, last = full[0], full[-1]
+    opens, closes = givens.opens(rest[first]), givens.opens(rest[last])
+    ahead = first + 1
+    while ahead < last and len(rest[ahead]) == 1:
+        ahead += 1
+    inner = [t for t in rest[first + 1 : last] if len(t) > 1]
+    named = bool(inner) and all(givens.opens(t) >= CERTAIN for t in inner)
+    front = 3.0 if first > 0 or (ahead > first + 1) else 1.0
+    back = 3.0 if last < len(rest) - 1 else 1.0
+    ways = []
+    if first > 0 or not (closes >= CERTAIN and opens == 0):
+        cuts = [ahead, last] if named else [ahead]
+        ways += [(rest[:k], [*rest[k : last + 1]], rest[last + 1 :], front * (opens + 0.6)) for k in cuts]
+    if first == 0 and not (opens >= CERTAIN and closes == 0):
+        cuts = [last, first + 1] if named else [last]
+        ways += [(rest[k:], rest[:k], [], back * (closes + 0.4)) for k in cuts]
+        if last < len(rest) - 1:  # a family name in two words, and an initial
+            ways.append((rest[last + 1 :], rest[: last + 1], [], 0.4))
+    ways = [(given + more, family, w) for given, family, more, w in ways]
+    if len(ways) == 1:
+        return [(*likeliest, 1.0)]
+    total = sum(w for *_, w in ways)
+    return [(given, family, w / total) for given, family, w in ways]
+
+
+def rewrite(name: str, givens: Givens) -> list[tuple]:
+    """A name as rows of (itself, core, rest, signature, forms with weights, whether only an initial is known, chance).
 
     The core is the family name or the organisation's own words, written together; the
-    rest is what must agree as well: kind, line and number.
+    rest is what must agree as well: kind, line and number. There is one row for each
+    order and cut in which the words may stand.
     """
     if firm := organisation(name):
         form = f"{firm['line']}|{firm['number']}"
-        return name, firm["core"], "o", form, [{"form": form, "weight": 1.0}], False
+        return [(name, firm["core"], "o", form, [{"form": form, "weight": 1.0}], False, 1.0)]
     family, rest = person_tokens(name)
-    if not family:
-        if len(rest) < 2:
-            return (name, rest[0], "p", "", [{"form": "", "weight": 1.0}], False) if rest and len(rest[0]) > 1 else None
-        # Without a comma: initials and known given names on the outside, the family name is the rest.
-        marks = [len(t) == 1 or givens.known(t) for t in rest]
-        if len(rest[0]) == 1 or (marks[0] and not all(marks)) or all(marks) or not any(marks):
-            n = 1
-            while n < len(rest) - 1 and len(rest[n]) == 1:
-                n += 1
-            given, family = rest[:n], rest[n:]
-            if len(family) > 1 and len(family[-1]) == 1 and not marks[0]:
-                given, family = rest[-1:], rest[:-1]
-        else:
-            n = len(rest)
-            while n > 1 and marks[n - 1]:
-                n -= 1
-            given, family = rest[n:], rest[:n]
-            if not given:
-                given, family = rest[:1], rest[1:]
+    if family:
+        ways = [(rest, family, 1.0)]
+    elif len(rest) < 2:
+        return [(name, rest[0], "p", "", [{"form": "", "weight": 1.0}], False, 1.0)] if rest and len(rest[0]) > 1 else []
     else:
-        given = rest
-    family = [t for t in family if len(t) > 1] or family
-    words = [t for t in given if len(t) > 1]
-    first = words[0] if words else (given[0] if given else "")
-    middle = next((t for t in given[given.index(first) + 1 :] if len(t) == 1), "") if first else ""
-    forms = [{"form": f, "weight": w} for f, w in givens.forms(first)] if first else [{"form": "", "weight": 1.0}]
-    return name, "".join(family), "p", f"{first}|{middle}", forms or [{"form": first, "weight": 1.0}], len(first) == 1
+        ways = readings(rest, givens)
+    out = {}
+    for given, family, chance in ways:
+        family = [t for t in family if len(t) > 1] or family
+        words = [t for t in given if len(t) > 1]
+        first = words[0] if words else (given[0] if given else "")
+        middle = next((t for t in given[given.index(first) + 1 :] if len(t) == 1), "") if first else ""
+        forms = [{"form": f, "weight": w} for f, w in givens.forms(first)] if first else [{"form": "", "weight": 1.0}]
+        row = (name, "".join(family), "p", f"{first}|{middle}", forms or [{"form": first, "weight": 1.0}], len(first) == 1, chance)
+        out.setdefault((row[1], row[3]), row)
+    return list(out.values())
+
+
+def _choose_readings(forms: DataFrame, more: Callable[[Column], Column]) -> DataFrame:
+    """``forms`` with one reading for each ``value``: the one that most records, by all readings of their names, support."""
+    people = forms.filter("rest = 'p'").withColumn("n", F.col("n") * F.col("chance"))
+    usual = spelling.cluster_spellings(people.groupBy("rest", "core").agg(F.sum("n").alias("n")), ["rest"], "core", "n", more=more)
+    each = people.join(usual, ["rest", "core"]).select("value", "core", "sig", "chance", "n", "canonical", "initial", F.explode("forms").alias("f"))
+    each = materialize(each.withColumn("form", F.col("f.form")).withColumn("n", F.when(F.col("initial"), 0.0).otherwise(F.col("n") * F.col("f.weight"))).drop("f", "initial"), "readings")
+    support = each.groupBy("canonical", "form").agg(F.sum("n").alias("support"))
+    unsure = each.filter("chance < 1").join(support, ["canonical", "form"])
+    # Of equal support all names take the same reading, whatever their own order.
+    best = F.max(F.struct(F.round("support", 6), "core", "chance", "sig")).alias("b")
+    chosen = unsure.groupBy("value").agg(best).select("value", F.col("b.core").alias("core"), F.col("b.sig").alias("sig"))
+    sure = forms.filter("chance >= 1")
+    return sure.unionByName(forms.filter("chance < 1").join(chosen, ["value", "core", "sig"], "left_semi"))
 
 
 #: A word is taken for a given name if at least this part of all names opens with it.
@@ -311,9 +379,10 @@ def same_name(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     names = materialize(names, "names")
     forms = names.select("value").mapInPandas(_rewriter(given_names(names), nicks), _FORMS)
     forms = materialize(forms.join(names, "value"), "forms")
-    cores = forms.groupBy("rest", "core").agg(F.sum("n").alias("n"))
     # A particle written onto the family name: the name without it is one more key.
     bare = lambda w: F.array(*[F.when(w.startswith(p) & (F.length(w) >= len(p) + 6), F.substring(w, len(p) + 1, spelling.LONGEST)) for p in ("al", "de", "van")])
+    forms = materialize(_choose_readings(forms, bare), "forms")
+    cores = forms.groupBy("rest", "core").agg(F.sum("n").alias("n"))
     usual = spelling.cluster_spellings(cores, ["rest"], "core", "n", more=bare)
     forms = materialize(forms.join(usual, ["rest", "core"]), "forms")
     # Names of one signature are one row from here on, however many records have them.

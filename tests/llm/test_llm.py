@@ -136,6 +136,15 @@ def test_same_name(spark):
     assert names.same_name(entities(spark, base).limit(0), nicks).count() == 0
 
 
+def test_same_name_in_either_order(spark):
+    nicks = spark.createDataFrame([("Sam", "Samuel")], "nick string, formal string")
+    base = [(100 + i, 1, f"officer name: {g} {s}") for i, (g, s) in enumerate(itertools.product(["Gwendolyn", "Samuel", "Zachary"], ["Popixconmam", "Zyjuzheldil", "Gasewcikwaw", "Vuhahlaldop"]))]
+    # Family names that open two spellings, so that they count as given names, and some that none else has.
+    odd = ["Nymersofbef Gwendolyn", "NYMERSOFBEF GWENDOLYN", "Gwendolyn Nymersofbef", "Dywyrjembab Zachary", "DYWYRJEMBAB ZACHARY N.", "Zachary Dywyrjembab", "Qorvex Tildamun", "Tildamun Qorvex", "Wawaw Jajxys S.", "Wawawjajxys, Samuel"]
+    got = pairs(names.same_name(entities(spark, base + [(i, 1, f"officer name: {n}") for i, n in enumerate(odd)]), nicks))
+    assert got == sorted([*itertools.combinations([0, 1, 2], 2), *itertools.combinations([3, 4, 5], 2), (6, 7), (8, 9)])
+
+
 # packing
 
 
