@@ -155,33 +155,44 @@ def _evidence(names: pd.Series) -> pd.DataFrame:
 class Givens:
     """Which given names a written one can stand for.
 
-    ``counts`` are given names as found in the data, ``nicks`` the table of short forms.
-    A written name stands for itself if it is common; else for the names that the
-    table, the rules for short forms (a beginning, an end or a middle of the name,
-    with its usual endings) or a typing error lead to.
+    ``counts`` are given names as found in the data, ``nicks`` the table of short forms,
+    ``usual`` the spelling that each given name follows, itself unless a near one is far
+    commoner (by ``cluster_spellings``). A name stands for itself, however rare or
+    short, unless it follows another or is a short form, by the table or by the rules (a
+    beginning, an end or a middle of the name, with its usual endings), of one ``RARER``
+    times as common; then it stands for those, as do words that are no given names.
     """
 
-    #: Names that others are led back to; beyond this many the rarest stand for themselves.
-    MOST = 3000
+    #: Typing errors and short forms of a name are so many times rarer than the name.
+    RARER = 3
 
-    def __init__(self, counts: dict[str, int], nicks: list[tuple[str, str]]):
+    def __init__(self, counts: dict[str, int], nicks: list[tuple[str, str]], usual: dict[str, str] | None = None):
         self.counts = counts
         self.nicks: dict[str, set[str]] = defaultdict(set)
         for nick, formal in [*nicks, *((n, f) for n, fs in MORE_NICKS.items() for f in fs)]:
             if nick and formal:
                 self.nicks[spelling.plain(nick)].add(spelling.plain(formal))
         named = {f for fs in self.nicks.values() for f in fs}
-        common = sorted((w for w in counts if len(w) >= 5 and w not in self.nicks), key=lambda w: (-counts[w], w))[: self.MOST]
-        top = counts[common[min(len(common) - 1, 9)]] if common else 0
-        # Typing errors of a name are far rarer than the name.
-        self.formal = {w for w in common if counts[w] * 8 >= top or w in named} | {f for f in named if f in counts}
+        usual = usual or {}
+        self.formal = {w for w in counts if len(w) > 1 and usual.get(w, w) == w and w not in self.nicks} | {f for f in named if f in counts}
+        self.begins: dict[str, list[str]] = defaultdict(list)
+        self.ends: dict[str, list[str]] = defaultdict(list)
+        self.parts: dict[str, set[str]] = defaultdict(set)
+        for f in sorted(self.formal):
+            for k in range(2, min(len(f), spelling.LONGEST) + 1):
+                self.begins[f[:k]].append(f)
+                self.ends[f[-k:]].append(f)
+            for k in range(len(f) - 3):
+                self.parts[f[k : k + 4]].add(f)
+        short = {w for w in self.formal - named if any(counts[f] >= self.RARER * counts[w] for f in self.short(w) if f != w)}
+        self.formal -= short
+        for index in (self.begins, self.ends, self.parts):
+            for k, fs in index.items():
+                index[k] = sorted(self.formal.intersection(fs))
         self.keys: dict[str, set[str]] = defaultdict(set)
         for f in self.formal:
             for k in spelling.deletes(f):
                 self.keys[k].add(f)
-        self.by_initial: dict[str, list[str]] = defaultdict(list)
-        for f in sorted(self.formal):
-            self.by_initial[f[0]].append(f)
         self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
 
     def known(self, word: str) -> bool:
@@ -201,10 +212,11 @@ class Givens:
         stems = {word, re.sub(r"(?:ie|ey|y|i|o|a|e|s)$", "", word)}
         stems |= {re.sub(r"(.)\1$", r"\1", s) for s in stems} | {s[:-1] + "c" for s in stems if s[-1:] == "k"}
         stems = {s for s in stems if len(s) >= 2}
-        begin = [f for f in self.formal if any(f.startswith(s) for s in stems if len(s) >= 3 or len(word) > 3) or (len(word) > 3 and f.endswith(word))]
+        begin = {f for s in stems if len(s) >= 3 or len(word) > 3 for f in self.begins.get(s, ())} | set(self.ends.get(word, ()) if len(word) > 3 else ())
         if begin:
             return sorted(begin)
-        return sorted(f for f in self.formal if any(len(s) >= 4 and s in f for s in stems) or (len(word) >= 3 and f.endswith(word)))
+        inside = {f for s in stems if len(s) >= 4 for f in self.parts.get(s[:4], ()) if s in f}
+        return sorted(inside | set(self.ends.get(word, ()) if len(word) >= 3 else ()))
 
     def forms(self, word: str) -> tuple[tuple[str, float], ...]:
         """Given names with the weight of the rewriting: 1 as written, less the more names it could be."""
@@ -214,8 +226,7 @@ class Givens:
 
     def _forms(self, word: str) -> tuple[tuple[str, float], ...]:
         if len(word) == 1:
-            names = self.by_initial.get(word, [])
-            return tuple((f, 0.2 / len(names)) for f in names)
+            return ()  # the given names of its family that it opens, by a join
         if word in self.formal:
             return ((word, 1.0),)
         if word in self.nicks:
@@ -234,9 +245,9 @@ _FORMS = "value string, core string, rest string, sig string, forms array<struct
 CERTAIN = 8
 
 
-def _rewriter(counts: dict[str, int], nicks: list[tuple[str, str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _rewriter(counts: dict[str, int], nicks: list[tuple[str, str]], usual: dict[str, str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        givens = Givens(counts, nicks)
+        givens = Givens(counts, nicks, usual)
         for pdf in batches:
             yield pd.DataFrame([r for v in pdf["value"] for r in rewrite(v, givens)], columns=["value", "core", "rest", "sig", "forms", "initial", "chance"])
 
@@ -328,12 +339,26 @@ def rewrite(name: str, givens: Givens) -> list[tuple]:
     return list(out.values())
 
 
+def _with_initials(each: DataFrame, by: list[str]) -> DataFrame:
+    """``each`` with the forms that an initial may stand for: all that other names of the same ``by`` have and it opens.
+
+    An initial that opens none keeps one row, itself as the form. Whoever has many given
+    names shares them with a row for each initial and name.
+    """
+    at = F.substring("form", 1, 1)
+    open_ = each.filter(~F.col("initial")).select(*by, "form", at.alias("_at")).distinct()
+    short = each.filter("initial").withColumnRenamed("form", "_at").join(open_, [*by, "_at"], "left")
+    short = short.withColumn("form", F.coalesce("form", "_at"))
+    return each.filter(~F.col("initial")).unionByName(short.drop("_at"))
+
+
 def _choose_readings(forms: DataFrame, more: Callable[[Column], Column]) -> DataFrame:
     """``forms`` with one reading for each ``value``: the one that most records, by all readings of their names, support."""
     people = forms.filter("rest = 'p'").withColumn("n", F.col("n") * F.col("chance"))
     usual = spelling.cluster_spellings(people.groupBy("rest", "core").agg(F.sum("n").alias("n")), ["rest"], "core", "n", more=more)
     each = people.join(usual, ["rest", "core"]).select("value", "core", "sig", "chance", "n", "canonical", "initial", F.explode("forms").alias("f"))
-    each = materialize(each.withColumn("form", F.col("f.form")).withColumn("n", F.when(F.col("initial"), 0.0).otherwise(F.col("n") * F.col("f.weight"))).drop("f", "initial"), "readings")
+    each = each.withColumn("form", F.col("f.form")).withColumn("n", F.when(F.col("initial"), 0.0).otherwise(F.col("n") * F.col("f.weight"))).drop("f")
+    each = materialize(_with_initials(each, ["canonical"]), "readings")
     support = each.groupBy("canonical", "form").agg(F.sum("n").alias("support"))
     unsure = each.filter("chance < 1").join(support, ["canonical", "form"])
     # Of equal support all names take the same reading, whatever their own order.
@@ -347,8 +372,8 @@ def _choose_readings(forms: DataFrame, more: Callable[[Column], Column]) -> Data
 LEAST_SHARE = 2e-5
 
 
-def given_names(names: DataFrame) -> dict[str, int]:
-    """Given names and how many distinct names they open, from the names themselves.
+def given_names(names: DataFrame) -> tuple[dict[str, int], dict[str, str]]:
+    """Given names with how many distinct names they open, and with the spelling they follow, from the names themselves.
 
     Names are counted where they are; only words that open at least ``LEAST_SHARE`` of
     all names come to the driver, of which there are at most 1 / ``LEAST_SHARE``.
@@ -357,7 +382,10 @@ def given_names(names: DataFrame) -> dict[str, int]:
     counts = words.groupBy("word").agg(F.sum("given").alias("given"), F.sum("family").alias("family"))
     counts = materialize(counts.filter("given >= 2 and given > family"), "given")
     total = counts.agg(F.sum("given").alias("n")).first().n or 0
-    return {r.word: r.given for r in counts.filter(F.col("given") >= total * LEAST_SHARE).collect()}
+    every = counts.select(F.lit("g").alias("kind"), "word", "given")
+    usual = spelling.cluster_spellings(every, ["kind"], "word", "given", ratio=Givens.RARER).select("word", "canonical")
+    found = counts.join(usual, "word").filter(F.col("given") >= total * LEAST_SHARE).collect()
+    return {r.word: r.given for r in found}, {r.word: r.canonical for r in found}
 
 
 def same_name(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
@@ -377,7 +405,8 @@ def same_name(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
         raise ValueError("the table of nicknames is too large to send to every executor")
     names = rows.groupBy("value").agg(F.count("*").alias("n"))
     names = materialize(names, "names")
-    forms = names.select("value").mapInPandas(_rewriter(given_names(names), nicks), _FORMS)
+    counts, follows = given_names(names)
+    forms = names.select("value").mapInPandas(_rewriter(counts, nicks, follows), _FORMS)
     forms = materialize(forms.join(names, "value"), "forms")
     # A particle written onto the family name: the name without it is one more key.
     bare = lambda w: F.array(*[F.when(w.startswith(p) & (F.length(w) >= len(p) + 6), F.substring(w, len(p) + 1, spelling.LONGEST)) for p in ("al", "de", "van")])
@@ -388,7 +417,8 @@ def same_name(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     # Names of one signature are one row from here on, however many records have them.
     sigs = materialize(forms.groupBy("rest", "canonical", "sig").agg(F.sum("n").alias("n"), F.first("forms").alias("forms"), F.first("initial").alias("initial")), "sigs")
     each = sigs.select("rest", "canonical", "sig", "n", "initial", F.substring_index("sig", "|", -1).alias("middle"), F.explode("forms").alias("f"))
-    each = materialize(each.select("rest", "canonical", "sig", "n", "initial", "middle", F.col("f.form").alias("form"), F.col("f.weight").alias("weight")), "rewritten")
+    each = each.select("rest", "canonical", "sig", "n", "initial", "middle", F.col("f.form").alias("form"), F.col("f.weight").alias("weight"))
+    each = materialize(_with_initials(each, ["rest", "canonical"]), "rewritten")
     named = F.col("weight") >= 0.5
     support = each.groupBy("rest", "canonical", "form").agg(
         F.sum(F.when(~F.col("initial"), F.col("n") * F.col("weight")).otherwise(0.0)).alias("support"),

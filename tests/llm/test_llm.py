@@ -145,6 +145,21 @@ def test_same_name_in_either_order(spark):
     assert got == sorted([*itertools.combinations([0, 1, 2], 2), *itertools.combinations([3, 4, 5], 2), (6, 7), (8, 9)])
 
 
+def test_rare_and_short_given_names(spark):
+    nicks = spark.createDataFrame([("Sam", "Samuel")], "nick string, formal string")
+    fam = ["Popixconmam", "Zyjuzheldil", "Gasewcikwaw", "Vuhahlaldop", "Wosulbimtar", "Kebarnuzzol", "Tofimexlaru", "Hyrodancefi", "Jilvapsetum", "Qudornebbas", "Rexolimfuta", "Cabunditzor"]
+    common = ["Alexander", "Benedict", "Cornelius", "Dominic", "Ferdinand", "Gwendolyn", "Hildegard", "Josephine", "Leonard", "Nathaniel", "Paula", "Samuel"]
+    base = [f"{g} {f}" for g in common for f in fam] + [f"Paul {f}x" for f in fam[:4]]
+    # Paul is as long as a short form of Paula may be, Marian near Marion, and both are rarer than the tenth commonest.
+    odd = ["Paul Brixendolva", "P. Brixendolva", "Paula Brixendolva", "Paul Cestumarfil", "Paul Dozwimkarel", "Marian Ethoplynger", "Marian Fuzgaldomir", "Marion Fuzgaldomir", "Marion Gontrapilsed", "Marion Hexluvandom", "M. Ethoplynger"]
+    rows = [(100 + i, 1, f"officer name: {n}") for i, n in enumerate(base)] + [(i, 1, f"officer name: {n}") for i, n in enumerate(odd)]
+    got = pairs(names.same_name(entities(spark, rows), nicks))
+    assert (0, 2) not in got and (5, 10) in got
+    g = names.Givens({"paula": 12, "paul": 5, "marion": 300, "marian": 250, "samuel": 90, "samu": 2, "samuell": 3, **{c.lower(): 400 for c in common[:10]}}, [], {"samuell": "samuel"})
+    assert all(g.forms(w) == ((w, 1.0),) for w in ("paul", "paula", "marian", "marion"))
+    assert g.forms("samu")[0][0] == g.forms("samuell")[0][0] == "samuel"
+
+
 # packing
 
 
