@@ -355,7 +355,7 @@ def _with_initials(each: DataFrame, by: list[str]) -> DataFrame:
 def _choose_readings(forms: DataFrame, more: Callable[[Column], Column]) -> DataFrame:
     """``forms`` with one reading for each ``value``: the one that most records, by all readings of their names, support."""
     people = forms.filter("rest = 'p'").withColumn("n", F.col("n") * F.col("chance"))
-    usual = spelling.cluster_spellings(people.groupBy("rest", "core").agg(F.sum("n").alias("n")), ["rest"], "core", "n", more=more)
+    usual = spelling.cluster_spellings(people.groupBy("rest", "core").agg(F.round(F.sum("n"), 6).alias("n")), ["rest"], "core", "n", more=more)
     each = people.join(usual, ["rest", "core"]).select("value", "core", "sig", "chance", "n", "canonical", "initial", F.explode("forms").alias("f"))
     each = each.withColumn("form", F.col("f.form")).withColumn("n", F.when(F.col("initial"), 0.0).otherwise(F.col("n") * F.col("f.weight"))).drop("f")
     each = materialize(_with_initials(each, ["canonical"]), "readings")
@@ -421,7 +421,7 @@ def same_name(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     each = materialize(_with_initials(each, ["rest", "canonical"]), "rewritten")
     named = F.col("weight") >= 0.5
     support = each.groupBy("rest", "canonical", "form").agg(
-        F.sum(F.when(~F.col("initial"), F.col("n") * F.col("weight")).otherwise(0.0)).alias("support"),
+        F.round(F.sum(F.when(~F.col("initial"), F.col("n") * F.col("weight")).otherwise(0.0)), 6).alias("support"),
         F.max(named).alias("named"), F.collect_set(F.when(~F.col("initial") & (F.col("middle") != ""), F.col("middle"))).alias("middles"))
     seen = each.join(support, ["rest", "canonical", "form"])
     fits = F.array_contains("middles", F.col("middle")) & (F.col("middle") != "")
