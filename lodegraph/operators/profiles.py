@@ -1,21 +1,22 @@
 """Per-key counts and exact quantiles where a few keys own most of the rows.
 
 Everything is built from value histograms whose counts merge: a histogram is made
-where the rows are, and only counts travel. Quantiles follow by refinement: a rank lies
-in one bin, that bin is split again, until it holds a single value or few rows. No
-task ever gets all rows of a key.
+where the rows are, and only counts travel. Quantiles, and the ranks of given values,
+follow by refinement: a rank lies in one bin, that bin is split again, until it holds a
+single value or few rows. No task ever gets all rows of a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.operators.skew import SALTS, hot_keys
+from lodegraph.operators.skew import hot_keys
 from lodegraph.session import materialize
 
 BINS = 64
@@ -23,9 +24,54 @@ BINS = 64
 LEAF = 512
 
 
-def histogram(rows: DataFrame, keys: Sequence[str], bin_: Column, weight: Column, name: str = "n") -> DataFrame:
-    """Counts by key and bin: ``keys``, ``bin``, ``name``. Partial counts merge by adding."""
-    return rows.groupBy(*keys, bin_.alias("bin")).agg(F.sum(weight).alias(name))
+def histogram(rows: DataFrame, keys: Sequence[str], bin_: Column, weight: Column, *more: Column) -> DataFrame:
+    """Counts by key and bin: ``keys``, ``_bin``, ``_m`` and what ``more`` aggregates. Partial counts merge by adding."""
+    return rows.groupBy(*keys, bin_.alias("_bin")).agg(F.sum(weight).alias("_m"), *more)
+
+
+def counts_below(values: DataFrame, key: str, value: str, bounds: Sequence[int], bins: int = BINS) -> DataFrame:
+    """``key``, ``n`` and ``below_0``, ``below_1`` ..: how many values of each key lie below each of ``bounds``.
+
+    This is selection turned round: not the value at a rank, but the rank at which a
+    value would stand. All keys are counted into the same ``bins`` bins between the least
+    and the greatest value. A bin below a bound adds all its values; the one bin that
+    a bound cuts is binned again, with the values in it only, until every bound lies
+    between two bins. Counts are made where the rows are and add up, so no key's
+    values are gathered; a round sends at most ``bins`` counts a key and task. Values are
+    integers, repeats count, rows with a null key or value are left out.
+    """
+    rows = values.select(F.col(key).alias("_key"), F.col(value).cast("long").alias("_v")).filter("_key is not null and _v is not null")
+    span = rows.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    ends = list(bounds)
+    names = [f"below_{i}" for i in range(len(ends))]
+    if span.lo is None:
+        return rows.select(F.col("_key").alias(key), *[F.lit(0).cast("long").alias(c) for c in ("n", *names)]).limit(0)
+    done = []
+    # Each interval with the bounds that are still open in it; the first one holds all values.
+    open_ = {(span.lo, span.hi): list(range(len(ends)))}
+    first = True
+    while open_:
+        later: dict[tuple[int, int], list[int]] = {}
+        for (lo, hi), some in open_.items():
+            width = -(-(hi - lo + 1) // bins)
+            part = rows if first else rows.filter(F.col("_v").between(lo, hi))
+            # Whole numbers throughout: the distance between two 64-bit values can need 65 bits.
+            h = histogram(part, ["_key"], F.expr(f"cast((cast(_v as decimal(20,0)) - {lo}bd) div {width}bd as int)"), F.lit(1))
+            sums = {c: F.lit(0).cast("long") for c in names}
+            for i in some:
+                at, cut = divmod(min(max(ends[i], lo), hi + 1) - lo, width)
+                sums[names[i]] = F.sum(F.when(F.col("_bin") < at, F.col("_m")).otherwise(0))
+                if cut and at * width + lo <= hi:
+                    later.setdefault((lo + at * width, min(hi, lo + (at + 1) * width - 1)), []).append(i)
+            n = F.sum("_m") if first else F.sum(F.lit(0))
+            done.append(h.groupBy("_key").agg(n.cast("long").alias("n"), *[(e if i in some else F.sum(e)).alias(c) for i, (c, e) in enumerate(sums.items())]))
+        open_, first = later, False
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    if len(done) > 1:
+        out = out.groupBy("_key").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+    return out.withColumnRenamed("_key", key)
 
 
 def relation_histogram(adj: DataFrame, rels: int = 8) -> DataFrame:
@@ -34,12 +80,13 @@ def relation_histogram(adj: DataFrame, rels: int = 8) -> DataFrame:
     Columns ``id``, ``n_0`` .. ``n_{rels-1}``, ``n_all``. An edge is a distinct
     (``id``, ``rel``, ``nbr``) with no part null; further columns are ignored, and so are
     repeats. Relations outside 0..rels-1 count in ``n_all`` only. Edges are
-    deduplicated by all three columns, so a hot id is spread over all tasks; what is
-    then grouped by ``id`` are the counts that each task made of its part.
+    deduplicated by all three columns, so a hot id is spread over all tasks; then
+    the ranks at which each relation begins among an id's edges are resolved by
+    ``counts_below``, and the edges of a relation lie between two of them.
     """
-    edges = adj.select("id", "rel", "nbr").dropna().distinct()
-    counts = [F.count_if(F.col("rel") == r).alias(f"n_{r}") for r in range(rels)]
-    return edges.groupBy("id").agg(*counts, F.count("*").alias("n_all"))
+    edges = adj.select("id", F.col("rel").cast("long").alias("rel"), "nbr").dropna().distinct()
+    below = counts_below(materialize(edges.select("id", "rel"), "listed"), "id", "rel", range(rels + 1))
+    return below.select("id", *[(F.col(f"below_{r + 1}") - F.col(f"below_{r}")).alias(f"n_{r}") for r in range(rels)], F.col("n").alias("n_all"))
 
 
 def recorded_totals(known: DataFrame, rels: int = 8) -> DataFrame:
@@ -106,10 +153,14 @@ def exact_quantiles(
     rows = materialize(rows.groupBy("_key", "_v").agg(F.min("_raw").alias("_raw"), F.count("*").alias("_c")), "values")
     span = rows.groupBy("_key").agg(
         F.sum("_c").alias("n"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    state = span.select("_key", "n", "_d", "_lo", "_hi", F.explode(ps).alias("prob"))
-    state = materialize(state.withColumn("_rank", F.greatest(F.ceil(F.col("prob") * F.col("n") - F.lit(1e-9)), F.lit(1))), "ranks")
-    hot = materialize(hot_keys(rows, ["_key"]).select("_key"), "hot")
+    # Ranks in whole numbers: a product of doubles would miss by one where n is large.
+    whole = lambda x: F.lit(x).cast("decimal(19,0)")
+    ratios = [(float(p), *Decimal(str(p)).as_integer_ratio()) for p in probs]
+    ps = F.array(*[F.struct(F.lit(p).alias("p"), whole(a).alias("a"), whole(b).alias("b")) for p, a, b in ratios])
+    state = span.select("_key", "n", "_d", "_lo", "_hi", F.explode(ps).alias("q"))
+    state = state.withColumn("_rank", F.greatest(F.expr("(q.a * n + q.b - 1) div q.b"), F.lit(1)).cast("long")).withColumn("prob", F.col("q.p")).drop("q")
+    state = materialize(state, "ranks")
+    hot = hot_keys(rows, ["_key"])
     done = []
     while True:
         small = state.filter(F.col("_d") <= leaf)
@@ -135,11 +186,10 @@ def _as_long(kind: T.DataType) -> Column:
 
 
 def _salted(rows: DataFrame, state: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    a = rows.join(flag, "_key", "left").withColumn(
-        "_s", F.when(F.col("_hot"), F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
-    b = state.join(flag, "_key", "left").withColumn(
-        "_s", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    parts = F.broadcast(hot.select("_key", "_parts"))
+    n = F.coalesce("_parts", F.lit(1))
+    a = rows.join(parts, "_key", "left").withColumn("_s", F.pmod(F.xxhash64("_v"), n).cast("int")).drop("_parts")
+    b = state.join(parts, "_key", "left").withColumn("_s", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
     return a, b
 
 
@@ -161,8 +211,7 @@ def _refine(pairs: DataFrame, bins: int) -> DataFrame:
     dec = lambda c: F.col(c).cast("decimal(20,0)")
     width = F.ceil((dec("_hi") - dec("_lo") + 1) / bins)
     part = F.floor((dec("_v") - dec("_lo")) / width).cast("int")
-    h = pairs.groupBy("_key", "prob", "n", "_rank", part.alias("_bin")).agg(
-        F.sum("_c").alias("_m"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    h = histogram(pairs, ["_key", "prob", "n", "_rank"], part, F.col("_c"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     w = Window.partitionBy("_key", "prob").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # `bins` rows at most
     h = h.withColumn("_upto", F.sum("_m").over(w))
     h = h.filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_m") < F.col("_rank")))

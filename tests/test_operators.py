@@ -5,7 +5,7 @@ import pytest
 
 from lodegraph.algo.components import spanning_forest
 from lodegraph.algo.paths import cheapest_path, closure, costs, hops, joining, path_slack, shared_with_target
-from lodegraph.operators.profiles import edge_audit, exact_quantiles, relation_histogram
+from lodegraph.operators.profiles import counts_below, edge_audit, exact_quantiles, relation_histogram
 from lodegraph.operators.skew import distributed_rank, hot_keys, salted_join
 from pyspark.sql import functions as F
 
@@ -41,12 +41,24 @@ def test_quantiles_equal_sorting(spark, kind):
         exact_quantiles(df, "k", "v", [])
 
 
+def test_counts_below(spark):
+    r = random.Random(4)
+    rows = [(r.choice([1, 1, 1, 2, 3]), r.choice([r.randrange(-50, 50), r.randrange(-(2**63), 2**63)])) for _ in range(400)] + [(None, 1), (5, None)]
+    df = spark.createDataFrame(rows, "k int, v long")
+    bounds = [-(2**63), -7, 2**40, 2**63 - 1]
+    for bins in (64,):
+        got = {x.k: (x.n, *[x[f"below_{i}"] for i in range(len(bounds))]) for x in counts_below(df, "k", "v", bounds, bins).collect()}
+        of = {k: [v for a, v in rows if a == k and v is not None] for k in (1, 2, 3)}
+        assert got == {k: (len(v), *[sum(x < b for x in v) for b in bounds]) for k, v in of.items()}
+    assert counts_below(df.limit(0), "k", "v", [1]).count() == 0
+
+
 def test_salted_join_and_rank(spark):
     left = spark.createDataFrame([(7 if i % 3 == 0 else i, i) for i in range(600)] + [(None, 1)], "k long, x long")
     right = spark.createDataFrame([(7, "a"), (7, "b"), (8, "c")], "k long, y string")
     plain = left.join(right, "k")
-    assert hot_keys(left, ["k"], 0.1).first().k == 7
-    got = salted_join(left, right, ["k"], [F.col("x")], hot=hot_keys(left, ["k"], 0.1))
+    assert hot_keys(left, ["k"], 50).first().k == 7
+    got = salted_join(left, right, ["k"], [F.col("x")], hot=hot_keys(left, ["k"], 50))
     assert sorted(got.collect()) == sorted(plain.collect())
     for how in ("left_semi", "left_anti", "left"):
         assert salted_join(left, right, ["k"], [F.col("x")], how).count() == left.join(right, "k", how).count()
