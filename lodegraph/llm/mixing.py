@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.tokens import TOKENIZERS, VOCABULARY, token_counts
+from lodegraph.llm.tokens import token_counts
 from lodegraph.session import materialize
 
 #: More sources than this are an error: their targets go to every task.
 MOST_SOURCES = 10_000
-#: Beyond this mean a Poisson count is taken to be the cap: the mean of what the cap cuts off is then below any rounding.
-TOP = 700.0
+#: Steps of all sources' counts that are sent to every task, 80 MB; more are an error.
+MOST_STEPS = 10_000_000
 
 
 def source_key(c: Column) -> Column:
@@ -21,19 +22,26 @@ def source_key(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"[\s\-_]+", "_"), F.lit(""))
 
 
-def chances(rate: float, cap: int) -> list[float]:
-    """Upper ends of the unit interval's parts for 0, 1, .. cap - 1 copies under Poisson(rate), the rest being cap."""
-    out, p, total = [], math.exp(-rate), 0.0
-    for k in range(cap):
-        total += p
-        out.append(total)
-        p *= rate / (k + 1)
-    return out
+def chances(rate: float, cap: int) -> tuple[int, np.ndarray]:
+    """The least count and the upper ends of the unit interval's parts for it and each next one, under Poisson(rate).
+
+    Counts from ``cap`` on are the cap and have no end of their own. Left out are counts so
+    far from the rate that their chances, below 2^-53, would not change any sum: about
+    18 * sqrt(rate) are left. Chances are computed by their logarithms, as exp(-rate) is 0 beyond 745.
+    """
+    if rate <= 0:
+        return 0, np.ones(min(cap, 1))
+    wide = 9 * math.sqrt(rate) + 30
+    low, high = max(0, math.floor(rate - wide)), math.ceil(rate + wide)
+    k = np.arange(low, min(high, cap) if cap > low else low)
+    steps = np.concatenate(([0.0], np.cumsum(math.log(rate) - np.log(k[1:])))) if len(k) else np.zeros(0)
+    return min(low, cap), np.minimum(np.cumsum(np.exp(steps - rate + low * math.log(rate) - math.lgamma(low + 1))), 1.0)
 
 
 def mean_copies(rate: float, cap: int) -> float:
     """Mean of a Poisson count that is cut at ``cap``."""
-    return sum(1 - c for c in chances(rate, cap))
+    low, upto = chances(rate, cap)
+    return low + float(np.sum(1 - upto))
 
 
 def rate_for(mean: float, cap: int) -> float:
@@ -43,8 +51,10 @@ def rate_for(mean: float, cap: int) -> float:
     if mean >= cap:
         return math.inf
     low, high = 0.0, 1.0
-    while mean_copies(high, cap) < mean and high < TOP:
-        high *= 2
+    while mean_copies(high, cap) < mean:
+        if len(chances(high, cap)[1]) == 0:
+            return math.inf  # no chance of fewer is left: the cap is as near the mean as doubles can tell
+        low, high = high, 2 * high
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if mean_copies(mid, cap) < mean else (low, mid)
@@ -67,7 +77,7 @@ def plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total: f
 
 
 def mixture(
-    documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0, tokenizer: str = f"{TOKENIZERS}/{VOCABULARY}",
+    documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0, tokenizer: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(mixture, shares)``.
 
@@ -94,12 +104,16 @@ def mixture(
     # Sums by source, of listed sources only: as many rows as targets.
     held = {r.source: (r.t, r.n) for r in sized.join(F.broadcast(names), "source").groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
     means = plan({s: t for s, (t, _) in held.items()}, wanted, total)
-    steps = [(s, [] if (rate := rate_for(mean, cap)) == math.inf else chances(rate, cap), cap) for s, (mean, cap) in means.items()]
-    table = F.broadcast(spark.createDataFrame(steps, "source string, upto array<double>, cap int"))
+    steps = []
+    for s, (mean, cap) in means.items():
+        least, upto = (cap, np.zeros(0)) if (rate := rate_for(mean, cap)) == math.inf else chances(rate, cap)
+        steps.append((s, least, upto.tolist()))
+    if sum(len(u) for _, _, u in steps) > MOST_STEPS:
+        raise ValueError("the targets repeat too many sources too often")
+    table = F.broadcast(spark.createDataFrame(steps, "source string, least int, upto array<double>"))
     # 53 bits of a hash as a number in [0, 1).
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("copies"), "doc_id"), 11) / F.lit(float(1 << 53))
-    upto = F.col("upto")
-    copies = F.when(F.size(upto) == 0, F.col("cap")).otherwise(F.size(F.filter(upto, lambda c: c <= u)))
+    copies = F.col("least") + F.size(F.filter("upto", lambda c: c <= u))
     drawn = materialize(sized.join(table, "source").select("doc_id", "source", "tokens", copies.alias("copies")), "drawn")
     used = drawn.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     mixed = used.select(F.xxhash64(F.lit(seed), F.lit("place"), "doc_id", "copy").alias("place"), "doc_id", "copy", "source", "tokens").orderBy("place", "doc_id", "copy")

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from lodegraph.session import materialize
 
-#: Where the vocabulary files lie on every executor, and the one to count with.
-TOKENIZERS = "/opt/tokenizers"
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The setting that names the vocabulary file to count with; it must lie at this path on every executor.
+CONF = "spark.lodegraph.vocabulary"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's texts were cut into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts are encoded in parts of so many characters at most, cut at white space where
@@ -44,11 +44,12 @@ def count(text: str | None, enc: tiktoken.Encoding) -> int:
     return n
 
 
-def token_counts(documents: DataFrame, keep: list[str], path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
+def token_counts(documents: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """``doc_id``, ``tokens`` and the columns ``keep`` of each document, as a written table.
 
-    Each text is sent to Python once. Rows without ``doc_id`` are left out; repeated ids count once.
+    Each text is sent to Python once. ``path`` is the vocabulary file; by default that of the setting ``CONF``. Rows without ``doc_id`` are left out; repeated ids count once.
     """
+    path = path or documents.sparkSession.conf.get(CONF, VOCABULARY)
     rows = documents.select("doc_id", "text", *keep).filter("doc_id is not null")
     schema = rows.drop("text").schema.add("tokens", "long")
 
