@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +19,9 @@ from lodegraph.session import materialize
 STATES = ("prose", "record", "links", "tags", "menu")
 #: States whose words count as spam; records are the lists a transcript has (divisions, order papers, attendance).
 NON_PROSE = (2, 3, 4)
+_SPAM = np.isin(np.arange(len(STATES)), NON_PROSE)
+#: Documents are decoded together up to so many pieces, the longest times their number.
+ROOM = 400_000
 #: Longer lines are read in pieces of so many words, so that a page in one line is many observations.
 PIECE = 12
 
@@ -43,11 +46,14 @@ _WORD = re.compile(r"[^\W_]+")
 _DOMAIN = re.compile(r"://|^www\.|\[\.\]| dot |\.[a-z]{2,}(?:/|$)", re.I)
 
 # What any link, and any tag or menu, has: most lines have neither and need no closer look.
-_DOTTED = re.compile(r"[^\s.][.][^\s.]|://|\[\.\]| dot ")
-_MARKED = re.compile(r"[#+~@*•>|»›·_/–-]|home|related|tag")
+_DOTTED = re.compile(r"\.[^\s.]")
+_MARKS = frozenset("#+~@*•>|»›·_/–-")
+_HEADS = ("home", "related", "tag")
+
 
 # Bins of each feature: grammar words, links, advertising, marks, repeated words (the last: repeated at once).
 BINS = (4, 3, 3, 3, 4)
+_GRAMMAR_ENDS, _LINK_ENDS, _CUE_ENDS, _MARK_ENDS, _AGAIN_ENDS = (0.08, 0.22, 0.36), (0.1, 0.4), (0.001, 0.12), (0.05, 0.2), (0.34, 0.7)
 #: Where the model starts: for each state the chance of each bin, feature by feature.
 START = (
     ((0.05, 0.15, 0.35, 0.45), (0.93, 0.06, 0.01), (0.93, 0.06, 0.01), (0.90, 0.08, 0.02), (0.698, 0.20, 0.10, 0.002)),
@@ -60,45 +66,56 @@ START = (
 STAY = 0.85
 
 
-def pieces(text: str) -> tuple[list[list[int]], list[int]]:
-    """For each line or piece of a long line: the bin of every feature, and its words.
+#: A piece's bins as one number: how much each feature counts in it.
+_PLACES = np.cumprod((1, *BINS[:-1]))
+_LINKED, _CUED, _MARKED, _AGAIN = (int(p) for p in _PLACES[1:])
+
+
+def pieces(text: str) -> tuple[list[int], list[int]]:
+    """For each line or piece of a long line: the bins of all features as one number, and its words.
 
     Words are runs of letters and digits, so a link counts as the words it is made of.
     Lines without any are left out.
     """
-    count: Counter[str] = Counter()
-    found = []
+    found: list[tuple[int, int, int, int]] = []  # words, content words, where those end in all, code without repeats
+    every: list[str] = []
     for line in plain(text).split("\n"):
         parts = line.split(" ")
         for i in range(0, len(parts), PIECE):
-            piece = " ".join(parts[i : i + PIECE])
+            piece = " ".join(parts[i : i + PIECE]) if len(parts) > PIECE else line
             words = _WORD.findall(piece)
             if not words:
                 continue
-            n, links = len(words), []
-            if _DOTTED.search(piece) and (links := [m for m in _LINK.findall(piece) if _DOMAIN.search(m)]):
+            n, linked = len(words), 0.0
+            dotted = ("." in piece and _DOTTED.search(piece)) or "://" in piece or " dot " in piece
+            if dotted and (links := [m for m in _LINK.findall(piece) if _DOMAIN.search(m)]):
                 rest = piece
                 for m in links:
                     rest = rest.replace(m, " ", 1)
                 words = _WORD.findall(rest)
-            content = [w for w in words if w not in GRAMMAR and not w.isdigit()]
-            count.update(content)
-            found.append((piece, n, links, words, content))
-    features, sizes = [], []
-    latest: deque[str] = deque(maxlen=PIECE)
-    for piece, n, links, words, content in found:
-        linked = sum(len(_WORD.findall(m)) for m in links) / n if links else 0.0
-        grammar = len([w for w in words if w in GRAMMAR]) / n
-        cues = len([w for w in words if w in CUES]) / n
-        marks = (2 * len(_TAGGED.findall(piece)) + len(_MENU.findall(piece)) + piece.count("_")) / n if _MARKED.search(piece) else 0.0
-        again = len([w for w in content if count[w] > 2]) / len(content) if content else 0.0
-        latest.extend(content)
-        at_once = again >= 0.7 and len(latest) > 5 and len(set(latest)) <= 0.55 * len(latest)
-        features.append([
-            bisect((0.08, 0.22, 0.36), grammar), bisect((0.1, 0.4), linked), bisect((0.001, 0.12), cues), bisect((0.05, 0.2), marks), 3 if at_once else bisect((0.34, 0.7), again),
-        ])
+                linked = sum(len(_WORD.findall(m)) for m in links) / n
+            other = [w for w in words if w not in GRAMMAR]
+            content = [w for w in other if not w.isdigit()]
+            marks = 0.0
+            if not _MARKS.isdisjoint(piece) or any(h in piece for h in _HEADS):
+                marks = (2 * len(_TAGGED.findall(piece)) + len(_MENU.findall(piece)) + piece.count("_")) / n
+            cues = len([w for w in other if w in CUES]) / n
+            code = bisect(_GRAMMAR_ENDS, (len(words) - len(other)) / n)
+            if linked or cues or marks:
+                code += _LINKED * bisect(_LINK_ENDS, linked) + _CUED * bisect(_CUE_ENDS, cues) + _MARKED * bisect(_MARK_ENDS, marks)
+            every += content
+            found.append((n, len(content), len(every), code))
+    many = {w for w, c in Counter(every).items() if c > 2}
+    codes, sizes = [], []
+    for n, k, end, code in found:
+        if many and k:
+            again = len([w for w in every[end - k : end] if w in many]) / k
+            latest = every[max(0, end - PIECE) : end] if again >= 0.7 else ()
+            at_once = len(latest) > 5 and len(set(latest)) <= 0.55 * len(latest)
+            code += _AGAIN * (3 if at_once else bisect(_AGAIN_ENDS, again))
+        codes.append(code)
         sizes.append(n)
-    return features, sizes
+    return codes, sizes
 
 
 class Model:
@@ -116,50 +133,65 @@ class Model:
         return cls(start, move, [np.array([s[f] for s in START]) for f in range(len(BINS))])
 
     def paths(self, docs: list[np.ndarray]) -> list[np.ndarray]:
-        """The likeliest states of each document (pieces x features), many documents at a time."""
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(docs)
+        """The likeliest states of each document, given the codes of its pieces; many documents at a time.
+
+        Documents of similar length go together, and no more than fit into ``ROOM``
+        pieces, the longest times their number. A longer document goes alone and is
+        decoded piece by piece with one carried score; only which state led to which
+        is kept, five bytes a piece.
+        """
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(docs)
         order = sorted((i for i in range(len(docs)) if len(docs[i])), key=lambda i: len(docs[i]))
+        k = len(STATES)
         start, move = np.log(self.start), np.log(self.move)
-        emit = [np.log(e) for e in self.emit]
+        bins = np.arange(int(np.prod(BINS)))[:, None] // _PLACES % BINS
+        emit = sum(np.log(e)[:, bins[:, f]].T for f, e in enumerate(self.emit))
         at = 0
         while at < len(order):
-            # Documents of similar length, so that little is padded.
-            size = max(1, min(2000, 400_000 // (len(docs[order[at]]) + 1)))
+            size = 1
+            while at + size < len(order) and (size + 1) * len(docs[order[at + size]]) <= ROOM:
+                size += 1
             some = order[at : at + size]
             at += size
-            long = len(docs[some[-1]])
-            x = np.zeros((len(some), long, len(STATES)))
-            for r, i in enumerate(some):
-                d = docs[i]
-                x[r, : len(d)] = sum(emit[f][:, d[:, f]].T for f in range(len(BINS)))
-            score, back = start + x[:, 0], np.zeros((len(some), long, len(STATES)), np.int8)
             ends = np.array([len(docs[i]) for i in some])
+            long = int(ends[-1])
+            codes = np.zeros((long, size), np.int16)
+            for r, i in enumerate(some):
+                codes[: ends[r], r] = docs[i]
+            back = np.zeros((long, size, k), np.int8)
+            score = start + emit[codes[0]]
+            first = 0  # documents before it have ended
             final = score.copy()
             for t in range(1, long):
-                step = score[:, :, None] + move[None]
-                back[:, t] = step.argmax(1)
-                score = step.max(1) + x[:, t]
-                final[ends == t + 1] = score[ends == t + 1]
+                while ends[first] <= t:
+                    first += 1
+                step = score[first:, :, None] + move
+                back[t, first:] = step.argmax(1)
+                score[first:] = step.max(1) + emit[codes[t, first:]]
+                final[first:] = score[first:]
+            state = final.argmax(1)
+            path = np.zeros((long, size), np.int8)
+            rows = np.arange(size)
+            for t in range(long - 1, -1, -1):
+                first = int(np.searchsorted(ends, t, side="right"))
+                path[t, first:] = state[first:]
+                state[first:] = back[t, rows[first:], state[first:]]
             for r, i in enumerate(some):
-                s = int(final[r].argmax())
-                path = np.zeros(ends[r], int)
-                for t in range(ends[r] - 1, -1, -1):
-                    path[t] = s
-                    s = int(back[r, t, s])
-                out[i] = path
+                out[i] = path[: ends[r], r].copy()
         return out
 
     def counts(self, docs: list[np.ndarray]) -> np.ndarray:
         """How often each start, transition and emission is used by the likeliest paths; counts of parts add up."""
-        k = len(STATES)
-        start, move, emit = np.zeros(k), np.zeros((k, k)), [np.zeros((k, b)) for b in BINS]
-        for d, p in zip(docs, self.paths(docs), strict=True):
-            if len(p):
-                start[p[0]] += 1
-                np.add.at(move, (p[:-1], p[1:]), 1)
-                for f in range(len(BINS)):
-                    np.add.at(emit[f], (p, d[:, f]), 1)
-        return np.concatenate([start, move.ravel(), *[e.ravel() for e in emit]])
+        k, paths = len(STATES), self.paths(docs)
+        some = [(d, p) for d, p in zip(docs, paths, strict=True) if len(p)]
+        if not some:
+            return np.zeros(k + k * k + k * sum(BINS))
+        start = np.bincount([p[0] for _, p in some], minlength=k)
+        steps = np.concatenate([p[:-1].astype(np.int64) * k + p[1:] for _, p in some])
+        move = np.bincount(steps, minlength=k * k)
+        code, state = np.concatenate([d for d, _ in some]).astype(np.int64), np.concatenate([p for _, p in some]).astype(np.int64)
+        emit = [np.bincount(state * b + code // place % b, minlength=k * b) for b, place in zip(BINS, _PLACES, strict=True)]
+        return np.concatenate([start, move, *emit]).astype(float)
 
     def trained(self, counts: np.ndarray, prior: float) -> Model:
         """The model that fits ``counts``, held to where it started by ``prior`` of all counts."""
@@ -187,25 +219,20 @@ class Model:
         return cls(np.array(start), np.array(move), [np.array(e) for e in emit])
 
 
-#: A piece's bins as one number.
-_PLACES = np.cumprod((1, *BINS[:-1]))
-
-
 def _observe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         seen = [pieces(t or "") for t in pdf["text"]]
-        codes = [(np.array(f, int).reshape(-1, len(BINS)) @ _PLACES).astype("<i2").tobytes() for f, _ in seen]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "codes": codes, "sizes": [s for _, s in seen]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "codes": [np.array(c, "<i2").tobytes() for c, _ in seen], "sizes": [np.array(s, "<i4").tobytes() for _, s in seen]})
 
 
 def _docs(pdf: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(c, "<i2").astype(int)[:, None] // _PLACES % BINS for c in pdf["codes"]]
+    return [np.frombuffer(c, "<i2") for c in pdf["codes"]]
 
 
 def observations(documents: DataFrame) -> DataFrame:
-    """Each document's pieces as codes of their features, two bytes a piece, with their sizes."""
+    """Each document's pieces as codes of their features, two bytes a piece, with their sizes, four."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    return materialize(rows.mapInPandas(_observe, "doc_id long, codes binary, sizes array<int>"), "pieces")
+    return materialize(rows.mapInPandas(_observe, "doc_id long, codes binary, sizes binary"), "pieces")
 
 
 def train(seen: DataFrame, rounds: int = 2, prior: float = 0.05) -> Model:
@@ -243,8 +270,9 @@ def page_shares(documents: DataFrame, rounds: int = 2, prior: float = 0.05) -> D
         m = Model.load(text)
         for pdf in it:
             paths = m.paths(_docs(pdf))
-            words = [int(sum(s)) for s in pdf["sizes"]]
-            spam = [int(np.asarray(s, int)[np.isin(p, NON_PROSE)].sum()) if len(p) else 0 for s, p in zip(pdf["sizes"], paths, strict=True)]
+            sizes = [np.frombuffer(s, "<i4").astype(np.int64) for s in pdf["sizes"]]
+            words = [int(s.sum()) for s in sizes]
+            spam = [int(s[_SPAM[p]].sum()) for s, p in zip(sizes, paths, strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "words": words, "non_prose": spam})
 
     out = seen.mapInPandas(label, "doc_id long, words long, non_prose long")
