@@ -19,6 +19,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_name(table(spark, d, "entities"), table(spark, d, "nicknames"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.location_classes(table(spark, d, "entities"))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_classes(table(spark, d, "entities"), table(spark, d, "nicknames"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "candidates"), "grp", "id", "prior", 5).select("grp", "id")
 
@@ -72,7 +80,9 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p3_found": p3_found,
     "p3_top_ranked": p3_top_ranked,
     "p5_found": p5_found,

@@ -109,6 +109,7 @@ def test_same_location(spark):
     got = pairs(addresses.same_location(entities(spark, (full + odd) * 2)))
     assert got == [(1, 2), (1, 140), (2, 140), (3, 4), (5, 6)]
     assert addresses.same_location(entities(spark, odd).limit(0)).count() == 0
+    assert sorted(tuple(r) for r in addresses.location_classes(entities(spark, full + odd)).collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 3, 1), (5, 5, 1), (6, 5, 1), (140, 1, 2)]
 
 
 # names
@@ -155,9 +156,30 @@ def test_rare_and_short_given_names(spark):
     rows = [(100 + i, 1, f"officer name: {n}") for i, n in enumerate(base)] + [(i, 1, f"officer name: {n}") for i, n in enumerate(odd)]
     got = pairs(names.same_name(entities(spark, rows), nicks))
     assert (0, 2) not in got and (5, 10) in got
-    g = names.Givens({"paula": 12, "paul": 5, "marion": 300, "marian": 250, "samuel": 90, "samu": 2, "samuell": 3, **{c.lower(): 400 for c in common[:10]}}, [], {"samuell": "samuel"})
-    assert all(g.forms(w) == ((w, 1.0),) for w in ("paul", "paula", "marian", "marion"))
-    assert g.forms("samu")[0][0] == g.forms("samuell")[0][0] == "samuel"
+
+
+def test_given_names(spark):
+    counts = {"paula": 12, "paul": 5, "marion": 30, "marian": 25, "samuel": 30, "samu": 2, "samuell": 3, "alexander": 40, "cornelius": 40}
+    code = lambda i: "".join("bcdfghklmnprtvwz"[(i >> s) & 15] + "aeiu"[(i >> s) & 3] for s in (0, 2, 4, 6, 8))
+    rows = [(f"{w} {code(97 * k + i)}{w[:2]}q", 1) for k, (w, c) in enumerate(counts.items()) for i in range(c)] + [("Dr. L" + "o" * 100 + "ng X. Samue1", 1), ("lex Q.", 1)]
+    read = spark.createDataFrame(rows, "value string, n long").mapInPandas(names._read, names._READINGS)
+    got = {r.word: r for r in names.given_names(read, names._nicks(spark.createDataFrame([("lex", "Alexander")], "nick string, formal string"))).collect()}
+    form = lambda w: [(f.form, f.weight) for f in got[w].forms]
+    assert all(form(w) == [(w, 1.0)] for w in ("paul", "paula", "marian", "marion"))
+    assert form("samu")[0][0] == form("samuell")[0][0] == form("samuei")[0][0] == "samuel" and form("lex") == [("alexander", 0.8)]
+    assert got["paula"].opens == 12 and got["lex"].opens == 41 and got["lex"].known and not got[spelling.short_id("l" + "o" * 100 + "ng")].known
+
+
+def test_cuts_of_long_words_meet(spark):
+    r = random.Random(2)
+    base = "".join(r.choice("abcdefg") for _ in range(65))
+    near = [base, base[:30] + base[31:], base[:64], base + "x", base[:10] + "zz" + base[11:], base[:40] + "q" + base[41:]]
+    for a, b in itertools.combinations(near, 2):
+        assert (set(spelling.hashed_cuts(a)) & set(spelling.hashed_cuts(b)) != set()) == (spelling.deletes(a) & spelling.deletes(b) != set())
+    df = spark.createDataFrame([(w,) for w in [*near, "y" * 200_000, "y" * 199_999]], "w string")
+    key = spelling.with_cuts(df, "w", "k").select(F.length("w").alias("n"), F.xxhash64("w").alias("h"), "k")
+    met = key.alias("a").join(key.alias("b"), "k").filter("a.h < b.h").select("a.h", "b.h").distinct().count()
+    assert met == 1 + sum(bool(spelling.deletes(a) & spelling.deletes(b)) for a, b in itertools.combinations(near, 2))
 
 
 # packing
