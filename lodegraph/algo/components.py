@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from lodegraph.session import materialize
 
 
-def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:
+def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", forest_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of an undirected graph: ``(labels, forest)``.
 
     ``labels`` has ``node`` and ``root``, the smallest node of its component, for every
     node with an edge (self-loops and rows with a null end add nothing, repeats and both directions of
     an edge are one); ``forest`` has the edges ``a`` < ``b`` that join each component.
-    Both are written tables. Node ids are bigint; other columns are ignored.
+    Both are written tables, the forest in ``forest_path`` if one is given (an existing one is an
+    error). Node ids are bigint; other columns are ignored.
 
     Each round every component takes its least outgoing edge in the order of (a, b);
     as that order is strict, the taken edges form no cycle but the two ends of one
@@ -41,8 +42,11 @@ def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataF
             "u", F.when((F.col("_p") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("p"))
         tree = materialize(tree, "tree")
         while True:
+            # Two jumps a round: every node then points four times as far as before.
             up = tree.select(F.col("u").alias("_u"), F.col("p").alias("_p"))
-            jumped = materialize(tree.join(up, tree.p == up._u).select("u", F.col("_p").alias("p"), (F.col("_p") != F.col("p")).alias("moved")), "tree")
+            once = tree.join(up, tree.p == up._u).select("u", F.col("_p").alias("p"), (F.col("_p") != F.col("p")).alias("moved"))
+            over = once.select(F.col("u").alias("_u"), F.col("p").alias("_p"))
+            jumped = materialize(once.join(over, once.p == over._u).select("u", F.col("_p").alias("p"), "moved"), "tree")
             tree = jumped.select("u", "p")
             if jumped.filter("moved").isEmpty():
                 break
@@ -57,4 +61,7 @@ def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataF
     labels = materialize(labels, "labels")
     least = labels.groupBy("root").agg(F.min("node").alias("_min"))
     labels = materialize(labels.join(least, "root").select("node", F.col("_min").alias("root")), "labels")
-    return labels, materialize(forest, "forest") if steps else spark.createDataFrame([], "a long, b long")
+    if forest_path is None:
+        return labels, materialize(forest, "forest")
+    forest.write.parquet(forest_path)
+    return labels, spark.read.schema(forest.schema).parquet(forest_path)

@@ -71,10 +71,11 @@ def test_salted_join_and_rank(spark):
     assert {tuple(r) for r in ranked.collect()} == want
 
 
-def test_components(spark):
+def test_components(spark, tmp_path):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000), (None, 3)] + [(9000, 9001 + i) for i in range(50)]
-    labels, forest = spanning_forest(spark.createDataFrame(edges, "a long, b long"))
+    labels, forest = spanning_forest(spark.createDataFrame(edges, "a long, b long"), forest_path=str(tmp_path / "forest"))
+    assert spark.read.parquet(str(tmp_path / "forest")).count() == forest.count()
     parent = {}
 
     def find(x):
