@@ -47,6 +47,11 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(_anchors(spark, d))
 
 
+def p5_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The edges by which calls were joined, each component's one fewer than its nodes."""
+    return splits.anchors(table(spark, d, "batches"), table(spark, d, "tasks"))[1]
+
+
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     s = splits.assign_splits(_anchors(spark, d))
     total = s.agg(F.count("*").alias("t"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_top_ranked": p3_top_ranked,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p5_forest": p5_forest,
     "p5_shares": p5_shares,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
@@ -122,8 +128,7 @@ links as (
   select a.t as a, b.t as b from seeds a join seeds b using (seed) where seed is not null and a.t <> b.t
   union select a.t, b.t from calls a join calls b using (r) where a.t <> b.t
   union select a.t, b.t from calls a join calls b using (grp) where a.t <> b.t),
-live as (select a, b from links where a in (select t from has) and b in (select t from has)),
-reach as (select t as a, t as b from has union select reach.a, live.b from reach join live on reach.b = live.a),
+reach as (select t as a, t as b from has union select reach.a, links.b from reach join links on reach.b = links.a),
 root as (select a as t, min(low) as anchor from reach join has on has.t = reach.b group by a),
 anchors as (select grp, min(coalesce(anchor, grp)) as anchor from calls left join root using (t) group by grp)
 """

@@ -30,14 +30,15 @@ def task_of_run(run_key: Column) -> Column:
     return F.nullif(F.substring_index(run_key, ".", 3), F.lit(""))
 
 
-def anchors(batches: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def anchors(batches: DataFrame, tasks: DataFrame, forest_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Every policy call with the smallest call it must share a split with.
 
     Gives ``(calls, forest)``: ``calls`` has ``grp`` and ``anchor`` for each distinct
     non-null ``grp``; ``forest`` holds the edges (``a``, ``b``) of the spanning forest by
-    which calls were joined. Calls belong together by the same run, the same task (a
-    missing one is named by the run) or tasks with a common non-null seed; tasks without
-    a call join nothing. Null and empty names and null seeds join nothing either.
+    which calls were joined, and is written to ``forest_path`` if one is given, for the caller to keep. Calls belong together by the same run, the same task (a
+    missing one is named by the run) or tasks with a common non-null seed, also if the
+    seeds lead on through a task that has no call. In the forest such a task is a node
+    beyond the greatest call. Null and empty names and null seeds join nothing.
     Repeated rows, and a call that is logged with several names, are one call.
 
     Calls with the same run and task are one node from the start, so a run that owns a
@@ -58,11 +59,16 @@ def anchors(batches: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]
     keys = units.select("rep", F.explode(F.array(F.concat(F.lit("r:"), "r"), F.concat(F.lit("t:"), "t"))).alias("k")).filter("length(k) > 2")
     seeds = tasks.select(name_key(F.col("task")).alias("t"), F.explode("seeds").alias("seed")).dropna().distinct()
     task_rep = units.filter("t <> ''").groupBy("t").agg(F.min("rep").alias("rep"))
-    seeded = seeds.join(task_rep, "t").select("rep", F.concat(F.lit("s:"), F.col("seed").cast("string")).alias("k"))
+    seeds = materialize(seeds, "seeds")
+    # Tasks without a call are nodes too, numbered behind all calls, so that no component has one for its smallest.
+    idle = seeds.select("t").distinct().join(task_rep, "t", "left_anti")
+    beyond = (rows.agg(F.max("grp").alias("m")).first().m or 0) + 1
+    idle = distributed_rank(idle, ["t"], name="rep").withColumn("rep", F.col("rep") + beyond)
+    seeded = seeds.join(task_rep.union(idle), "t").select("rep", F.concat(F.lit("s:"), F.col("seed").cast("string")).alias("k"))
     keys = materialize(keys.union(seeded).distinct(), "keys")
     least = keys.groupBy("k").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     edges.append(salted_join(keys, least, ["k"], [F.col("rep")]).select("a", F.col("rep").alias("b")))
-    labels, forest = spanning_forest(edges[0].union(edges[1]).filter("a <> b"))
+    labels, forest = spanning_forest(edges[0].union(edges[1]).filter("a <> b"), forest_path=forest_path)
     rooted = calls.groupBy("grp").agg(F.min("rep").alias("rep"))
     out = rooted.join(labels, rooted.rep == labels.node, "left").select("grp", F.coalesce("root", "rep").alias("anchor"))
     return materialize(out, "anchors"), forest
