@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.session import materialize
@@ -115,6 +115,8 @@ def with_cuts(words: DataFrame, letters: str, key: str, more: Callable[[Column],
     keys = F.array_distinct(F.concat(F.array(c), F.when(n >= 4, cut).otherwise(F.array().cast("array<string>")), extra))
     kept = [c for c in words.columns if c != letters]
     short = words.filter(n <= WRITTEN + 2).select(*kept, F.explode(keys).alias(key))
+    if words.filter(n >= WRITTEN).isEmpty():
+        return short
     hashed = F.pandas_udf(lambda s: s.map(hashed_cuts), "array<string>")
     # Words about as long as the limit have both kinds of keys, as a near word may lie beyond it.
     long = words.filter(n >= WRITTEN).select(*kept, F.explode(F.concat(hashed(c), extra)).alias(key))
@@ -132,16 +134,16 @@ def cluster_spellings(words: DataFrame, block: Sequence[str], word: str, weight:
     other ways to be near. Whoever it follows may follow another, ``rounds`` times.
 
     No pairs are formed: each edit key elects its heaviest word, and each word asks its
-    own keys, so the cost is one row per letter and word. Words of three letters and
-    fewer are never merged.
+    own keys, so the cost is one row per letter and word. A key has no more words than
+    there are letters to put into it. Words of three letters and fewer are never merged.
     """
     block = list(block)
     own = short_ids(F.col(word)).alias("_w")
+    words = materialize(words.select(*block, word, weight), "spellings")
     keys = with_cuts(words.select(*block, own, F.col(weight).cast("double").alias("_n"), F.col(word).alias("_letters")), "_letters", "_key", more)
     # Of equal weights the first by the alphabet must win, so the order of weights is turned and the least taken.
-    low = F.struct((-F.col("_n")).alias("m"), F.col("_w").alias("w"))
-    best = keys.groupBy(*block, "_key").agg(F.min(low).alias("_best"), F.count("*").alias("_c")).filter("_c > 1")
-    seen = keys.join(best.drop("_c"), [*block, "_key"]).filter(F.col("_best.w") != F.col("_w"))
+    best = F.min(F.struct((-F.col("_n")).alias("m"), F.col("_w").alias("w"))).over(Window.partitionBy(*block, "_key"))
+    seen = keys.withColumn("_best", best).filter(F.col("_best.w") != F.col("_w"))
     near = seen.groupBy(*block, "_w").agg(F.max("_n").alias("_n"), F.min("_best").alias("_best"))
     heavier = (-F.col("_best.m") > F.col("_n")) | ((-F.col("_best.m") == F.col("_n")) & (F.col("_best.w") < F.col("_w")))
     follows = near.filter(heavier & ((F.col("_n") <= 2) | (-F.col("_best.m") >= ratio * F.col("_n"))))
