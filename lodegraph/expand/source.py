@@ -7,9 +7,11 @@ from abc import ABC, abstractmethod
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.skew import distributed_rank, salted_join
+
 RELATIONS = 8
 
 
@@ -53,11 +55,14 @@ def peek(adj: DataFrame) -> DataFrame:
 def fetch(adj: DataFrame, picks: DataFrame) -> DataFrame:
     """The edges of many requests at once: ``id``, ``rel``, ``nbr`` and its place ``at``.
 
-    ``picks`` has ``id``, ``rel``, ``offset`` and ``limit``; places count from 0 in the order of ``pos``, then ``nbr``.
+    ``picks`` has ``id``, ``rel``, ``offset`` and ``limit``; places count from 0 in the order of ``pos``, then ``nbr``. Only what is
+    asked for is placed, by a distributed rank, so that an entity with very many edges takes no task for itself.
     """
-    w = Window.partitionBy("id", "rel").orderBy("pos", "nbr")
-    placed = _edges(adj).join(picks, ["id", "rel"]).withColumn("at", F.row_number().over(w) - 1)
-    return placed.filter((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("limit")))
+    asked = picks.select("id", "rel", "offset", "limit")
+    edges = salted_join(_edges(adj), asked.select("id", "rel").distinct(), ["id", "rel"], [F.col("nbr")], "left_semi")
+    placed = distributed_rank(edges, ["pos", "nbr"], ["id", "rel"], "at")
+    got = salted_join(placed, asked, ["id", "rel"], [F.col("at")])
+    return got.filter((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("limit")))
 
 
 def semi_join_chain(adj: DataFrame, attrs: DataFrame, rel: int, via: Sequence[int], key: str, value: str) -> DataFrame:

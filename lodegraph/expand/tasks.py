@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.algo.paths import hops
+from lodegraph.operators.skew import salted_join
 
 #: An alert needs so many co-officers with a country.
 ENOUGH = 50
@@ -20,9 +21,9 @@ def alert_targets(adj: DataFrame, countries: DataFrame, rel: int = 0, enough: in
     """
     officer = countries.filter("country is not null").select("id", "country").dropDuplicates(["id"])
     e = adj.filter((F.col("rel") == rel) & F.col("nbr").isNotNull()).select(F.col("id").alias("e"), F.col("nbr").alias("id")).distinct()
-    held = e.join(officer, "id").groupBy("e", "country").agg(F.count("*").alias("n"))
+    held = salted_join(e, officer, ["id"], [F.col("e")]).groupBy("e", "country").agg(F.count("*").alias("n"))
     mine = adj.filter((F.col("rel") == rel) & F.col("nbr").isNotNull()).select("id", F.col("nbr").alias("e")).distinct()
-    sums = mine.join(held, "e").groupBy("id", "country").agg(F.sum("n").alias("n"))
+    sums = salted_join(mine, held, ["e"], [F.col("id")]).groupBy("id", "country").agg(F.sum("n").alias("n"))
     # An officer takes itself out of the entities that list it.
     itself = mine.join(e, ["id", "e"], "left_semi").groupBy("id").agg(F.count("*").alias("_times"))
     own = officer.select("id", F.col("country").alias("_own"))

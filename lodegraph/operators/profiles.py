@@ -127,12 +127,13 @@ def _ordered_bits(v: pd.Series) -> pd.Series:
 
 
 def exact_quantiles(
-    df: DataFrame, key: str, value: str, probs: Sequence[float], bins: int = BINS, leaf: int = LEAF,
+    df: DataFrame, key: str, value: str, probs: Sequence[float], bins: int = BINS, leaf: int = LEAF, higher: bool = False,
 ) -> DataFrame:
     """Exact discrete quantiles of ``value`` for every ``key``: ``key``, ``prob``, ``value``, ``n``.
 
     The quantile at p is the value of rank ceil(p * n), at least 1, among the n non-null
-    values of the key, repeats counted. ``value`` may be any integer, date, timestamp or
+    values of the key, repeats counted; with ``higher`` that of rank ceil(p * (n - 1)) + 1, the next
+    higher value where the place falls between two. ``value`` may be any integer, date, timestamp or
     floating type (NaN is the largest value). Rows with a null key or value are left out;
     a key without values has no rows; an empty input gives an empty result. Other columns
     are ignored, whatever their names.
@@ -158,7 +159,8 @@ def exact_quantiles(
     ratios = [(float(p), *Decimal(str(p)).as_integer_ratio()) for p in probs]
     ps = F.array(*[F.struct(F.lit(p).alias("p"), whole(a).alias("a"), whole(b).alias("b")) for p, a, b in ratios])
     state = span.select("_key", "n", "_d", "_lo", "_hi", F.explode(ps).alias("q"))
-    state = state.withColumn("_rank", F.greatest(F.expr("(q.a * n + q.b - 1) div q.b"), F.lit(1)).cast("long")).withColumn("prob", F.col("q.p")).drop("q")
+    rank = F.expr("(q.a * (n - 1) + q.b - 1) div q.b + 1") if higher else F.greatest(F.expr("(q.a * n + q.b - 1) div q.b"), F.lit(1))
+    state = state.withColumn("_rank", rank.cast("long")).withColumn("prob", F.col("q.p")).drop("q")
     state = materialize(state, "ranks")
     hot = hot_keys(rows, ["_key"])
     done = []

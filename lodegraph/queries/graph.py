@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lodegraph import natives
 from lodegraph.lgql import match, standing
-from lodegraph.log import View, derive_next, update_ids
+from lodegraph.log import View, advance, edge_lookup, edges_ended_by, log_commits, strings, update_ids
 from lodegraph.plans.trade import STEP, event_history, graph, history
-from lodegraph.session import materialize
+from lodegraph.schema import as_log
+from lodegraph.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,11 +168,11 @@ left_edges as (select count(*) as n from orders join customer on o_custkey = c_c
 select nodes.n as customers, left_edges.n as placed, (select count(*) * 3 from customer where c_mktsegment <> 'HOUSEHOLD') as props from nodes, left_edges""")
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     """All customers of a segment are deleted by one log row each; edges and properties end with them."""
-    h = history(spark, d).drop("next")
-    doomed = match(View(history(spark, d)), 'n(type="customer", mktsegment="HOUSEHOLD")').select("n1_id")
+    h = history(spark, d)
+    doomed = match(View(h), 'n(type="customer", mktsegment="HOUSEHOLD")').select("n1_id")
     top = h.agg(F.max("id").alias("top"))
     rows = doomed.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n1_id")).alias("id"), F.lit("deletion").alias("kind"), F.col("n1_id").alias("target"))
-    v = View(materialize(derive_next(h.unionByName(rows, allowMissingColumns=True)), "cascade", by="kind"))
+    v = View(advance(h, as_log(rows)))
     mine = v.nodes.filter("type = 'customer'")
     n = mine.agg(F.count("*").alias("customers"))
     e = v.edges.filter("type = 'placed'").agg(F.count("*").alias("placed"))

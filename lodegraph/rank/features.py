@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators.skew import distributed_rank, salted_join
+from lodegraph.session import materialize
+
 RELATIONS = 8
 DOMAINS = 8
-#: Hops and costs of a side that has not reached the candidate.
+# Fixed value: hops and costs of a side that has not reached the candidate.
 FAR = 1e3
+# What a model's columns are called, and in which order.
 NAMES = [
     "domain", "goal", *(f"peek{r}" for r in range(RELATIONS)), *(f"left{r}" for r in range(RELATIONS)), *(f"known_dom{d}" for d in range(DOMAINS)), "log_degree", "log_left", "log_relevant",
     "hops", "hops_far", "two_sided", "cost", "cost_far", "known", "watched", "is_watched", "alerts", "probes", "pushed", "domain_interest", "spent", "side_balance", "steps", "batch", "rank_cost",
@@ -27,8 +31,7 @@ def features(candidates: DataFrame) -> DataFrame:
     total = lambda cs: sum(cs[1:], cs[0])
     sides = lambda a: [F.coalesce(F.get(F.col(a), F.lit(i)).cast("double"), F.lit(FAR)) for i in (0, 1)]
     hops, cost = sides("hops"), sides("cost")
-    w = Window.partitionBy("grp")
-    n = F.count("*").over(w)
+    n = F.col("_n")
     one, two = at("by_side", 0), at("by_side", 1)
     values: dict[str, Column] = {"domain": F.col("domain").cast("double"), "goal": F.when(F.col("goal") == "connect", 0.0).otherwise(1.0)}
     values |= {f"peek{r}": at("peek", r) for r in range(RELATIONS)} | {f"left{r}": left[r] for r in range(RELATIONS)}
@@ -41,8 +44,11 @@ def features(candidates: DataFrame) -> DataFrame:
         "domain_interest": F.coalesce(F.get("domain_interest", F.col("domain").cast("int")), F.lit(0.0)).cast("double"), "spent": F.col("fetched_total") / F.greatest("budget", F.lit(1)),
         "side_balance": (one - two) / F.greatest(one + two, F.lit(1.0)), "steps": F.log1p(F.col("steps").cast("double")), "batch": F.log1p(n.cast("double")),
     }
-    values["rank_cost"] = (F.row_number().over(w.orderBy(F.least(*cost), "id")) - 1) / F.greatest(n - 1, F.lit(1))
-    return candidates.select("grp", "id", *[values[c].alias(c) for c in NAMES])
+    values["rank_cost"] = F.col("_k") / F.greatest(n - 1, F.lit(1))
+    # Places and sizes of large groups come from many tasks.
+    placed = distributed_rank(candidates.withColumn("_cost", F.least(*cost)), ["_cost", "id"], ["grp"], "_k")
+    counts = candidates.groupBy("grp").agg(F.count("*").alias("_n"))
+    return salted_join(placed, counts, ["grp"], [F.col("_k")]).select("grp", "id", *[values[c].alias(c) for c in NAMES])
 
 
 def priority(p: Column, log_relevant: Column, alpha: float = 1.0) -> Column:
@@ -55,8 +61,9 @@ def test_tasks(tasks: DataFrame, share: float = 0.2, salt: str = "") -> DataFram
     from lodegraph.algo.components import spanning_forest
 
     rows = tasks.select("task", "seeds").filter("task is not null").dropDuplicates(["task"])
-    ids = rows.select("task", F.xxhash64("task").alias("n"))
-    seeds = rows.select(F.xxhash64("task").alias("n"), F.explode("seeds").alias("seed")).dropna().distinct()
+    # Tasks go by their place among all, as a hash of the name could give two of them one number.
+    ids = materialize(distributed_rank(rows, ["task"], name="n"), "tasks")
+    seeds = ids.select("n", F.explode("seeds").alias("seed")).dropna().distinct()
     least = seeds.groupBy("seed").agg(F.min("n").alias("m"))
     labels, _ = spanning_forest(seeds.join(least, "seed").select(F.col("m").alias("a"), F.col("n").alias("b")))
     rooted = ids.join(labels, ids.n == labels.node, "left").select("task", F.coalesce("root", "n").alias("root"))

@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators.profiles import exact_quantiles
+from lodegraph.operators.skew import salted_join
+from lodegraph.session import materialize
+
 
 def per_group(df: DataFrame, group: str, score: str, y: str, cost: str, k: int = 10) -> DataFrame:
     """``group``, ``ndcg``, ``recall``, ``top1`` and ``ahead`` of every group with a positive and a negative.
@@ -14,43 +18,59 @@ def per_group(df: DataFrame, group: str, score: str, y: str, cost: str, k: int =
     Positives have ``y`` 1. Ties go against the score: a positive below a negative of equal score.
     ``ndcg`` and ``recall`` are those of the first ``k``; ``ahead`` is the cost ranked before the first
     positive (null costs are 0). Rows with a null group, score or y, or a NaN score, are left out.
+
+    No group is ranked as a whole: counts and the best positive's score combine where the
+    rows are, each task passes on its first ``k`` of a group, and what lies ahead is a sum
+    over the negatives that score no less than that best positive.
     """
     rows = df.select(F.col(group).alias("_g"), F.col(score).cast("double").alias("_s"), F.col(y).cast("int").alias("_y"), F.coalesce(F.col(cost).cast("double"), F.lit(0.0)).alias("_c"))
     rows = rows.filter("_g is not null and _s is not null and not isnan(_s) and _y is not null")
+    all_ = rows.groupBy("_g").agg(F.sum("_y").alias("_pos"), F.count("*").alias("_n"), F.max(F.when(F.col("_y") == 1, F.col("_s"))).alias("_best")).filter("_pos > 0 and _pos < _n")
+    all_ = materialize(all_, "groups")
     w = Window.partitionBy("_g").orderBy(F.desc("_s"), "_y")
-    r = rows.withColumn("_r", F.row_number().over(w))
+    first = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
     gain = 1 / F.log2(F.col("_r") + 1.0)
-    first = F.min(F.when(F.col("_y") == 1, F.col("_r"))).over(Window.partitionBy("_g"))
-    r = r.withColumn("_first", first)
-    g = r.groupBy("_g").agg(
-        F.sum("_y").alias("_pos"), F.count("*").alias("_n"), F.sum(F.when((F.col("_r") <= k) & (F.col("_y") == 1), gain)).alias("_dcg"),
-        F.sum(F.when(F.col("_r") <= k, F.col("_y"))).alias("_got"), F.max(F.when(F.col("_r") == 1, F.col("_y"))).alias("_top"),
-        F.sum(F.when(F.col("_r") < F.col("_first"), F.col("_c"))).alias("_ahead"))
-    g = g.filter("_pos > 0 and _pos < _n")
+    top = first.groupBy("_g").agg(F.sum(F.when(F.col("_y") == 1, gain)).alias("_dcg"), F.sum("_y").alias("_got"), F.max(F.when(F.col("_r") == 1, F.col("_y"))).alias("_top"))
+    # Rows meet their group's best score in parts; sums of the parts add up.
+    ahead = salted_join(rows.filter("_y <> 1"), all_.select("_g", "_best"), ["_g"], [F.col("_s"), F.col("_c")]).filter("_s >= _best").groupBy("_g").agg(F.sum("_c").alias("_ahead"))
+    g = all_.join(top, "_g").join(ahead, "_g", "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_pos"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
     return g.select(
         F.col("_g").alias(group), (F.coalesce("_dcg", F.lit(0.0)) / ideal).alias("ndcg"), (F.col("_got") / F.least(F.col("_pos"), F.lit(k))).alias("recall"),
         F.col("_top").cast("double").alias("top1"), F.coalesce("_ahead", F.lit(0.0)).alias("ahead"))
 
 
-def bootstrap(df: DataFrame, column: str, n: int = 2000, seed: int = 0) -> tuple[float, float]:
+#: Upper ends of the unit interval's parts for 0, 1, 2 .. under Poisson(1), until doubles cannot tell the rest.
+_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1.0, 20.0)))))
+
+
+def _times(keys: np.ndarray, seed: int, n: int) -> np.ndarray:
+    """How often each row takes part in each of ``n`` resamples: rows x resamples, from a hash of the row's key and the resample."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(_POISSON, (x ^ (x >> np.uint64(31))) / 2.0**64, side="right")
+
+
+def bootstrap(df: DataFrame, column: str, key: str, n: int = 2000, seed: int = 0) -> tuple[float, float]:
     """The 95% interval of a column's mean over ``n`` resamples.
 
-    Each row takes part in every resample a Poisson(1) number of times, drawn where the row is, so
-    resampling needs one pass and no gathering; partial sums of the resamples are added up.
+    ``key`` tells the rows (groups) apart. Each takes part in every resample a Poisson(1) number of
+    times, drawn from its key where the row is, so resampling needs one pass, no gathering, and gives the
+    same in any order; partial sums of the resamples are added up. Null and NaN values are left out.
     """
 
     def sums(it):
         total, weight = np.zeros(n), np.zeros(n)
         for pdf in it:
-            for i, x in enumerate(pdf["x"].to_numpy(float)):
-                if not np.isnan(x):
-                    w = np.random.default_rng([seed, int(pdf["h"].iloc[i]) & 0x7FFFFFFF]).poisson(1.0, n)
-                    total += w * x
-                    weight += w
+            for at in range(0, len(pdf), 512):
+                w = _times(pdf["h"].to_numpy()[at : at + 512], seed, n)
+                total += pdf["x"].to_numpy(float)[at : at + 512] @ w
+                weight += w.sum(0)
         yield pd.DataFrame({"b": range(n), "t": total, "w": weight})
 
-    keyed = df.select(F.col(column).cast("double").alias("x"), F.xxhash64(*df.columns).alias("h"))
+    keyed = df.select(F.col(column).cast("double").alias("x"), F.xxhash64(key).alias("h")).filter("x is not null and not isnan(x)")
     parts = keyed.mapInPandas(sums, "b int, t double, w double").groupBy("b").agg((F.sum("t") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     q = parts.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).first().q
     return (q[0], q[1]) if q else (float("nan"), float("nan"))
@@ -73,12 +93,15 @@ def weights(kept: DataFrame, total: DataFrame, group: str, y: str) -> DataFrame:
 
 
 def summary(df: DataFrame, by: str, value: str) -> DataFrame:
-    """``by``, ``mean``, ``p50`` and ``p90`` of a value, percentiles as the next higher value that occurs."""
-    v = df.filter(F.col(value).isNotNull())
-    w = Window.partitionBy(by).orderBy(value)
-    r = v.select(by, value, (F.row_number().over(w) - 1).alias("_i"), F.count("*").over(Window.partitionBy(by)).alias("_n"))
-    at = lambda p: F.min(F.when(F.col("_i") >= F.ceil(p * (F.col("_n") - 1)), F.col(value)))
-    return r.groupBy(by).agg(F.avg(value).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+    """``by``, ``mean``, ``p50`` and ``p90`` of a value, percentiles as the next higher value that occurs.
+
+    Percentiles come by refined histograms, so a few large groups take no task for themselves. Null values
+    and groups are left out.
+    """
+    v = df.select(by, value).filter(F.col(value).isNotNull() & F.col(by).isNotNull())
+    q = exact_quantiles(v, by, value, [0.5, 0.9], higher=True).groupBy(by).agg(
+        F.max(F.when(F.col("prob") == 0.5, F.col(value))).alias("p50"), F.max(F.when(F.col("prob") == 0.9, F.col(value))).alias("p90"))
+    return v.groupBy(by).agg(F.avg(value).alias("mean")).join(q, by)
 
 
 def by_task(df: DataFrame, task: str, group: str, value: str) -> DataFrame:

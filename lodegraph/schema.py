@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,3 +63,9 @@ def typed(c: Column, kind: str) -> list[Column]:
         raise ValueError(kind)
     none["val_kind"] = F.lit("number" if kind == "integer" else kind)
     return [none[n].alias(n) for n in VALUES]
+
+
+def as_log(rows: DataFrame) -> DataFrame:
+    """Rows with some of the log's columns, as log rows: the others are null."""
+    have = set(rows.columns)
+    return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG.fields])

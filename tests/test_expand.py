@@ -87,7 +87,7 @@ def test_metrics(spark):
     k = capped(big, "g", "y", 10)
     assert k.count() == 10 and k.filter("y = 1").count() == 3
     assert {(r.y, r.weight) for r in weights(k, big, "g", "y").collect()} == {(1, 1.0), (0, 97 / 7)}
-    low, high = bootstrap(spark.range(200).select(F.col("id").cast("double").alias("x")), "x", 300)
+    low, high = bootstrap(spark.range(200).select(F.col("id").cast("double").alias("x")), "x", "x", 300)
     assert 85 < low < 99.5 < high < 115
     s = spark.createDataFrame([(1, 0, 0.5)], "g int, i int, slack double")
     assert credit(big, s, ["g", "i"], "y", 2.0).filter("i = 0").first().credit == pytest.approx(np.exp(-1))

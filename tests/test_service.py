@@ -101,3 +101,42 @@ def test_store(spark, tmp_path):
     assert not s.exists(g)
     with pytest.raises(ValueError):
         s.exists("../x")
+
+
+def test_bulk_writes_equal_those_one_by_one(spark, tmp_path):
+    from lodegraph import bulk
+    from lodegraph.kept import Kept
+    from lodegraph.schema import as_log, typed
+
+    kept = Kept(spark, str(tmp_path / "kept"))
+    t = Transaction()
+    a = t.node("t", "a").id
+    t.set(a, "k", 1)
+    t.edge(a, t.node("t", "b").id, "e", "")
+    kept.append(t.frame(spark))
+    nodes = spark.createDataFrame([("t", "a"), ("t", "c"), ("t", "c"), ("u", "d"), (None, "x")], "type string, value string")
+    edges = spark.createDataFrame([("t", "a", "t", "b", "e", None), ("t", "a", "u", "d", "e", "1"), ("t", "a", "u", "d", "e", "1")], "src_type string, src_value string, tgt_type string, tgt_value string, type string, value string")
+    props = spark.createDataFrame([("t", "a", "k", 1), ("t", "c", "k", 7), ("t", "b", "k", 2)], "type string, value string, key string, v long").select("type", "value", "key", *typed(F.col("v"), "integer"))
+    new = bulk.written(kept.history(), nodes, edges, props)
+    assert sorted((r.id, r.kind, r.value or r.key) for r in new.collect()) == [(5, "node", "c"), (6, "node", "d"), (7, "edge", "1"), (8, "prop", "k"), (9, "prop", "k")]
+    m = kept.append(new)
+    assert (m["nodes"], m["edges"], m["next_id"]) == (4, 2, 10)
+    with pytest.raises(bulk.Missing):
+        bulk.written(kept.history(), edges=edges.withColumn("tgt_value", F.lit("nowhere")))
+    gone = bulk.deletions(kept.history(), spark.createDataFrame([(a,)], "id long"))
+    m = kept.append(gone, batch=3)
+    assert (m["nodes"], m["edges"]) == (3, 0) and kept.append(gone, batch=3)["parts"][-1]["batch"] == 3
+    with pytest.raises(bulk.Missing):
+        bulk.deletions(kept.history(), spark.createDataFrame([(a,)], "id long"))
+    before = sorted(map(str, kept.history().collect()))
+    kept.compact()
+    assert sorted(map(str, kept.history().select(*kept.history().columns).collect())) == before and kept.manifest()["parts"] == []
+    late = as_log(spark.createDataFrame([(4, "deletion", 1)], "id long, kind string, target long")).withColumn("id", F.lit(9).cast("long"))
+    assert kept.append(late.limit(0))["next_id"] == 11
+    chain = spark.createDataFrame([([("t", "x"), ("e", None), ("t", "y"), ("e", "2"), ("t", "z")],), ([("t", "z")],), (None,)], "chain array<struct<type:string,value:string>>")
+    n, e = bulk.chains(chain)
+    assert sorted(r.value for r in n.collect()) == ["x", "y", "z"] and sorted((r.src_value, r.value, r.tgt_value) for r in e.collect()) == [("x", "", "y"), ("y", "2", "z")]
+    with pytest.raises(bulk.Missing):
+        bulk.chains(spark.createDataFrame([([("t", "x"), ("e", None)],)], chain.schema))
+    d = bulk.depths(spark.createDataFrame([(1, 2), (3, 2), (9, 8)], "src long, tgt long"), spark.createDataFrame([(1,)], "id long"))
+    assert {r.id: r.depth for r in d.collect()} == {1: 0, 2: 1, 3: 2}
