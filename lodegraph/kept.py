@@ -8,13 +8,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodegraph.log import delta, derive_next, with_ends
-from lodegraph.schema import LOG
+from lodegraph.schema import ENDS, HISTORY, LOG
 
-HISTORY = T.StructType([*LOG.fields, T.StructField("next", T.LongType())])
-ENDS = T.StructType([T.StructField("id", T.LongType()), T.StructField("next", T.LongType())])
 # A base is written anew once more rows were appended than both this many and this part of it.
 LEAST_DELTA, PART_OF_BASE = 8192, 32
 

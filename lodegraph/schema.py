@@ -19,6 +19,9 @@ LOG = T.StructType([
     T.StructField("src", T.LongType()), T.StructField("tgt", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("key", T.StringType()), *VALUE_FIELDS,
     T.StructField("target", T.LongType()),
 ])
+#: A log row with the position that ended it, and such positions alone.
+HISTORY = T.StructType([*LOG.fields, T.StructField("next", T.LongType())])
+ENDS = T.StructType([T.StructField("id", T.LongType()), T.StructField("next", T.LongType())])
 VALUES = [f.name for f in VALUE_FIELDS]
 
 

@@ -6,8 +6,9 @@ import json
 import re
 import shutil
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from http import HTTPStatus
 from pathlib import Path
 from typing import Any
 
@@ -15,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph import ingest
+from lodegraph.bulk import written
 from lodegraph.functions.json_values import merge
 from lodegraph.lgql import parse, query, standing
 from lodegraph.lgql.predicates import descend, holds
-from lodegraph.log import View, derive_next
+from lodegraph.lgql.parser import ParseError
+from lodegraph.log import View
 from lodegraph.natives import degrees, neighbour_counts
 from lodegraph.schema import LOG, shred
-from lodegraph.writer import Stored, Transaction
+from lodegraph.writer import Locked, NotFound, Stored
 
 KV = "kv"
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
@@ -73,14 +76,10 @@ class Store:
         g = self._stored(id_)
         if not (g.path / "manifest.json").exists():
             raise LookupError(id_)
-        if not allowed(self._meta(g), who):
+        if not allowed(g.props(), who):
             raise Refused(id_)
         return g
 
-    def _meta(self, g: Stored) -> dict[str, Any]:
-        with g.write() as t:
-            return t.props(0)
-
     def exists(self, id_: str) -> bool:
         return (self._stored(id_).path / "manifest.json").exists()
 
@@ -106,12 +105,12 @@ class Store:
         missing = {f.name for f in LOG.fields} - set(log.columns)
         if missing:
             raise ValueError(f"not a log: {sorted(missing)} missing")
-        from lodegraph.writer import _entry
+        g = self._stored(id_)
+        g.append(self.spark, lambda history: log.select(*LOG.names))
 
-        with self._stored(id_).write() as t:
-            for r in log.orderBy("id").toLocalIterator():
-                t._append(_entry(r.asDict()))
-            t.start = 0
+    def ingest(self, id_: str, nodes: DataFrame | None = None, edges: DataFrame | None = None, props: DataFrame | None = None, who: Who = Who()) -> int:
+        """Writes whole tables (see ``bulk.written``); the number of new log rows."""
+        return self.graph(id_, who).append(self.spark, lambda history: written(history, nodes, edges, props))
 
     def reset(self, id_: str, seeds: bool = True, kv: bool = True, who: Who = Who()) -> None:
         """Erases a graph but for its seeds, which are put in again, and its kv, unless told otherwise."""
@@ -124,18 +123,24 @@ class Store:
                 ingest.apply(t, s, create=True)
 
     def seeds(self, id_: str, who: Who = Who()) -> list[Any]:
-        return [v for _, v in _read(self.graph(id_, who)).kv_iter(ingest.SEEDS)]
+        return [v for _, v in sorted(self.graph(id_, who).side()["kv"].get(ingest.SEEDS, {}).items())]
 
     def meta(self, id_: str, new: dict[str, Any] | None = None, who: Who = Who()) -> dict[str, Any]:
         g = self.graph(id_, who)
+        if not new:
+            return g.props()
         with g.write() as t:
-            for k, v in (new or {}).items():
+            for k, v in new.items():
                 ingest.merged(t, 0, k, v)
             return t.props(0)
 
     def kv(self, id_: str, key: str | None = None, put: Any = None, replace: bool = False, remove: bool = False, who: Who = Who()) -> Any:
         """All of a graph's kv, or one key; a value given is merged in, or replaces with ``replace``."""
-        with self.graph(id_, who).write() as t:
+        g = self.graph(id_, who)
+        if put is None and not remove:
+            have = g.side()["kv"].get(KV, {})
+            return dict(sorted(have.items())) if key is None else have.get(key)
+        with g.write() as t:
             if remove:
                 for k in [key] if key is not None else [k for k, _ in t.kv_iter(KV)]:
                     t.kv_del(KV, k)
@@ -145,19 +150,25 @@ class Store:
             return dict(t.kv_iter(KV)) if key is None else t.kv_get(KV, key)
 
     def object(self, id_: str, entry: int, new: dict[str, Any] | None = None, who: Who = Who()) -> dict[str, Any]:
-        """A live node or edge with its properties; ``new`` is merged in first."""
-        with self.graph(id_, who).write() as t:
-            e = t.live(entry)
-            if new is not None:
+        """A live node or edge with its own fields and its properties; ``new`` is merged in first.
+
+        A node has its counts of edges and neighbours, an edge the summaries of its ends instead of their ids.
+        """
+        g = self.graph(id_, who)
+        if new is not None:
+            with g.write() as t:
+                e = t.live(entry)
                 (ingest.node if e.kind == "node" else ingest.edge)(t, {**new, "ID": entry})
                 ingest.depths(t, t.start + 1)
-            out = {"ID": e.id, "type": e.type, "value": e.value} | ({"srcID": e.src, "tgtID": e.tgt} if e.kind == "edge" else {})
-            return out | t.props(entry)
+        row, props = g.object(self.spark, entry)
+        if row is None:
+            raise NotFound(f"{entry} is no live node or edge")
+        return rendered(self.spark, g.history(self.spark), row) | props
 
     def status(self, id_: str, who: Who = Who()) -> dict[str, Any]:
         g = self.graph(id_, who)
         nodes, edges = g.counts()
-        meta = self._meta(g)
+        meta = g.props()
         return {"graph": id_, "enabled": meta.get("enabled", True), "nodes_count": nodes, "edges_count": edges, "maxID": g.next_id() - 1, "size": g.size(), "meta": meta}
 
     def list(self, who: Who = Who(), enabled: bool | None = None, filters: Sequence[str] = (), created_after: float | None = None, created_before: float | None = None) -> list[dict[str, Any]]:
@@ -183,7 +194,7 @@ class Store:
 
     def view(self, id_: str, stop: int | None = None, who: Who = Who()) -> View:
         """The graph as it is, or as it was after position ``stop``."""
-        return View(derive_next(self.graph(id_, who).log(self.spark)), None if stop is None else stop + 1)
+        return View(self.graph(id_, who).history(self.spark), None if stop is None else stop + 1)
 
     def query(self, id_: str, texts: Iterable[str], start: int | None = None, stop: int | None = None, limit: int = 0, who: Who = Who()) -> DataFrame:
         """``pattern``, ``chain`` (and ``at`` with ``start``) for the distinct patterns in their sorted order."""
@@ -192,9 +203,21 @@ class Store:
             return query(self.view(id_, stop, who), texts, limit)
         if start < 1:
             raise ValueError("start must be positive")
-        s = standing(derive_next(self.graph(id_, who).log(self.spark)), texts, start, stop)
+        s = standing(self.graph(id_, who).history(self.spark), texts, start, stop)
         return s.orderBy("at", "pattern").limit(limit) if limit else s
 
+    def answer(self, id_: str, texts: Iterable[str], limit: int = 0, who: Who = Who()) -> Iterator[Any]:
+        """A query's answer as the service gives it: first the sorted distinct patterns, then ``[pattern, [object, ..]]`` for each chain."""
+        texts = sorted(set(texts))
+        yield texts
+        for r in self.query(id_, texts, limit=limit, who=who).toLocalIterator():
+            yield [r.pattern, [{"ID": c.id, "type": c.type, "value": c.value} | ({"srcID": c.src, "tgtID": c.tgt} if c.kind == "edge" else {}) for c in r.chain]]
+
+    def headers(self, id_: str, updates: int | None = None) -> dict[str, str]:
+        """What an answer's headers say of the graph: its greatest id, and how many rows a write logged."""
+        out = {"X-lg-maxID": str(self._stored(id_).next_id() - 1)}
+        return out | ({} if updates is None else {"X-lg-updates": str(updates)})
+
     def query_all(self, texts: Iterable[str], who: Who = Who()) -> DataFrame:
         """The same over every graph that ``who`` may see, with the graph's id first."""
         texts, out = sorted(set(texts)), None
@@ -234,9 +257,28 @@ class Store:
         return nodes, edges.join(at.withColumnRenamed("index", "target"), F.col("tgt") == F.col("_id")).drop("_id").select("id", "type", "value", "source", "target")
 
 
-def _read(g: Stored) -> Transaction:
-    with g.write() as t:
-        return t
+def rendered(spark: SparkSession, history: DataFrame, row: dict[str, Any]) -> dict[str, Any]:
+    """The fields that a node or edge has of itself: a node its counts, an edge the id, type and value of its ends."""
+    out = {"ID": row["id"], "type": row["type"], "value": row["value"]}
+    live = history.filter("next is null")
+    if row["kind"] == "edge":
+        ends = {r.id: {"ID": r.id, "type": r.type, "value": r.value} for r in live.filter(F.col("id").isin(row["src"], row["tgt"])).select("id", "type", "value").collect()}
+        return out | {"src": ends[row["src"]], "tgt": ends[row["tgt"]]}
+    me = row["id"]
+    mine = live.filter((F.col("kind") == "edge") & ((F.col("src") == me) | (F.col("tgt") == me)))
+    other = F.when(F.col("src") == me, F.col("tgt")).otherwise(F.col("src"))
+    n = mine.agg(
+        F.count("*").alias("edge_count"), F.count_if(F.col("tgt") == me).alias("inbound_count"), F.count_if(F.col("src") == me).alias("outbound_count"),
+        F.countDistinct(F.when(other != me, other)).alias("neighbor_count")).first()
+    return out | n.asDict()
+
+
+def error(e: Exception) -> dict[str, Any]:
+    """What went wrong, as the body of an answer."""
+    codes = ((ParseError, 400), (ingest.BadInput, getattr(e, "code", 400)), (Refused, 403), (FileExistsError, 409), (Locked, 409), (NotFound, 404), (LookupError, 404), (ValueError, 400))
+    code = next((c for kind, c in codes if isinstance(e, kind)), 500)
+    text = f"query syntax error: {e}" if isinstance(e, ParseError) else str(e)
+    return {"code": code, "reason": HTTPStatus(code).phrase, "message": text}
 
 
 def matches(spark: SparkSession, objects: Sequence[Any], texts: Sequence[str]) -> list[bool]:
@@ -258,4 +300,4 @@ def matches(spark: SparkSession, objects: Sequence[Any], texts: Sequence[str]) -
     return [r.ok for r in df.select("i", ok.alias("ok")).orderBy("i").collect()]
 
 
-__all__ = ["Refused", "Store", "Who", "allowed", "matches", "roles_of"]
+__all__ = ["Refused", "Store", "Who", "allowed", "error", "matches", "rendered", "roles_of"]

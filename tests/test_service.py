@@ -4,7 +4,7 @@ import pytest
 
 from lodegraph import ingest
 from lodegraph.functions import json_values as J
-from lodegraph.store import Refused, Store, Who
+from lodegraph.store import Refused, Store, Who, error
 from lodegraph.writer import Locked, Stored, Transaction
 from pyspark.sql import functions as F
 
@@ -65,6 +65,17 @@ def test_commits(spark, tmp_path):
         with pytest.raises(Locked), g.write():
             pass
     assert g.log(spark).count() == 3 and g.counts() == (0, 0)
+    assert {r.id: r.next for r in g.history(spark).collect()} == {1: 3, 2: 3, 3: None}
+    g.sync()
+    with g.write() as t:
+        t.index_values("w")
+        b, c = t.node("t", "b").id, t.node("t", "c").id
+        for x, v in ((b, 1), (c, 2), (b, 2)):
+            t.set(x, "w", v)
+        assert [e.parent for e in t.valued("w", 2)] == [c, b] and t.valued("w", 1) == [] and t.valued("other", 1) == []
+        t.delete(b)
+        t.delete(c)
+    assert g.read().indexed == {"w"} and g.counts() == (0, 0)
     g.snapshot(spark, str(tmp_path / "s"))
     with pytest.raises(Exception, match="exists"):
         g.snapshot(spark, str(tmp_path / "s"))
@@ -94,6 +105,29 @@ def test_store(spark, tmp_path):
     assert s.list() == [] and len(s.list(ann)) == 1 and s.list(Who("bob")) == [] and s.list(Who("ann", ("admin",))) == []
     assert len(s.list(ann, filters=["n(meta.name~/beta/)", "n(nodes_count>2, graph)"])) == 1 and s.list(ann, filters=["n(ID)"]) == []
     assert s.object(g, 1, {"q": 1}, ann)["q"] == 1
+    other = s.create({"chains": [[{"type": "x", "value": v}, {"type": "e"}, {"type": "x", "value": "hub"}] for v in "abc"]})
+    assert s.object(other, 2) == {"ID": 2, "type": "x", "value": "hub", "edge_count": 3, "inbound_count": 3, "outbound_count": 0, "neighbor_count": 3}
+    one = s.object(other, 3, {"cost": 0.5})
+    assert one["src"] == {"ID": 1, "type": "x", "value": "a"} and one["tgt"]["value"] == "hub" and one["cost"] == 0.5
+    answer = list(s.answer(other, ["n(value='a')", "e()", "e()"]))
+    assert answer[0] == ["e()", "n(value='a')"] and len(answer) == 5 and answer[-1][1][0]["value"] in ("", "a")
+    lock = tmp_path / other / "lock"
+    lock.touch()  # a writer is at work: reads go on
+    assert s.status(other)["nodes_count"] == 4 and len(s.list()) == 1 and s.kv(other) == {} and s.seeds(other) == [] and s.meta(other) == {}
+    with pytest.raises(Locked) as held:
+        s.post(other, {})
+    lock.unlink()
+    assert error(held.value)["code"] == 409 and error(LookupError("x")) == {"code": 404, "reason": "Not Found", "message": "x"} and "bulk" not in error(ValueError("y"))["message"]
+    manifest = (tmp_path / other / "manifest.json").read_text()
+    assert s.post(other, {})["updates"] == 0 and (tmp_path / other / "manifest.json").read_text() == manifest
+    at = int(s.headers(other)["X-lg-maxID"])
+    nodes = spark.createDataFrame([("x", "a"), ("x", "new")], "type string, value string")
+    assert s.ingest(other, nodes) == 1 and s.status(other)["nodes_count"] == 5 and s.headers(other, 1) == {"X-lg-maxID": str(at + 1), "X-lg-updates": "1"}
+    assert s.post(other, {"edges": [{"src": {"type": "x", "value": "new"}, "tgt": {"type": "x", "value": "a"}, "type": "f"}]})["updates"] == 1
+    s.adopt("00000000-0000-0000-0000-000000000001", s._stored(other).log(spark))
+    assert s.status("00000000-0000-0000-0000-000000000001")["edges_count"] == s.status(other)["edges_count"] == 4
+    s.delete(other)
+    s.delete("00000000-0000-0000-0000-000000000001")
     s.reset(g, who=ann)
     assert s.status(g)["nodes_count"] == 2
     assert s.query_all(["n()"]).count() == 2
