@@ -65,6 +65,12 @@ def fetch(adj: DataFrame, picks: DataFrame) -> DataFrame:
     return got.filter((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("offset") + F.col("limit")))
 
 
+def label_depth(adj: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id``, ``rel``, ``depth``: at which place (from 0) an entity's first labelled neighbour of a relation is listed."""
+    placed = distributed_rank(_edges(adj), ["pos", "nbr"], ["id", "rel"], "at")
+    return placed.join(labels.select(F.col("id").alias("nbr")).distinct(), "nbr", "left_semi").groupBy("id", "rel").agg(F.min("at").alias("depth"))
+
+
 def semi_join_chain(adj: DataFrame, attrs: DataFrame, rel: int, via: Sequence[int], key: str, value: str) -> DataFrame:
     """Edges along ``rel`` whose far end leads over the relations ``via`` to an entity with an attribute: ``id``, ``rel``, ``nbr``.
 

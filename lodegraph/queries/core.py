@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.queries import graph, graphs, profiles
+from lodegraph.queries import calls, graph, graphs, profiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _m in (graph, graphs, profiles):
+for _m in (graph, graphs, profiles, calls):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

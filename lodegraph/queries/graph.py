@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegraph import natives
 from lodegraph.lgql import match, standing
-from lodegraph.log import View, advance, edge_lookup, edges_ended_by, log_commits, strings, update_ids
+from lodegraph.log import View, advance, update_ids
 from lodegraph.plans.trade import STEP, event_history, graph, history
 from lodegraph.schema import as_log
 from lodegraph.session import table
@@ -46,7 +46,6 @@ pattern("customer_orders", 'n(type="customer", mktsegment="BUILDING")->e(type="p
         "select c_custkey as custkey, o_orderkey as orderkey from customer join orders on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
 pattern("node_type_scan", 'n(type="part")', {"partkey": key("n1_value")}, "select distinct p_partkey as partkey from part")
 pattern("node_point", 'n(type="nation", value="7")', {"nationkey": key("n1_value")}, "select cast(n_nationkey as bigint) as nationkey from nation where n_nationkey = 7")
-pattern("edge_type_scan", 'e(type="placed")', {"n": "1"}, "select 1 as n from orders join customer on o_custkey = c_custkey")
 pattern("prop_eq", 'n(type="part", size=10)', {"partkey": key("n1_value")}, "select p_partkey as partkey from part where p_size = 10")
 pattern("prop_in", 'n(type="customer", mktsegment=["BUILDING","MACHINERY"])', {"custkey": key("n1_value")}, "select c_custkey as custkey from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
 pattern("prop_range", 'n(type="part", retailprice>=910, retailprice<930.5)', {"partkey": key("n1_value")}, "select p_partkey as partkey from part where p_retailprice >= 910 and p_retailprice < 930.5")
@@ -110,12 +109,16 @@ def neighbor_types(spark: SparkSession, d: str) -> DataFrame:
     return g.nodes.join(natives.neighbour_types(g).withColumnRenamed("type", "neighbor_type"), "id").drop("id")
 
 
-_AT = 5000
+_TOP = "(select max(event_id) from events)"
 
 
-@add("history_view", f"with e as (select user_id, event_id, event_type from events where event_id < {_AT}) select user_id, arg_max(event_type, event_id) as last_event from e group by user_id")
+def _top(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "events").agg(F.max("event_id").alias("m")).first().m
+
+
+@add("history_view", f"with e as (select user_id, event_id, event_type from events where event_id < {_TOP} // 2) select user_id, arg_max(event_type, event_id) as last_event from e group by user_id")
 def history_view(spark: SparkSession, d: str) -> DataFrame:
-    v = View(event_history(spark, d), _AT * STEP)
+    v = View(event_history(spark, d), _top(spark, d) // 2 * STEP)
     n = v.nodes.select(F.col("id").alias("parent"), F.col("value").cast("long").alias("user_id"))
     return n.join(v.props.filter("key = 'last_event'"), "parent").select("user_id", F.col("val_str").alias("last_event"))
 
@@ -127,9 +130,9 @@ def log_supersede(spark: SparkSession, d: str) -> DataFrame:
     return v.nodes.select(F.col("id").alias("parent"), F.col("value").cast("long").alias("user_id")).join(p, "parent").select("user_id", "last_event", "k")
 
 
-@add("counts_at", f"select count(distinct user_id) as nodes, 0::bigint as edges from events where event_id < {_AT}")
+@add("counts_at", f"select count(distinct user_id) as nodes, 0::bigint as edges from events where event_id < {_TOP} // 2")
 def counts_at(spark: SparkSession, d: str) -> DataFrame:
-    return View(event_history(spark, d), _AT * STEP).counts()
+    return View(event_history(spark, d), _top(spark, d) // 2 * STEP).counts()
 
 
 @add("update_id", """
@@ -148,11 +151,12 @@ def mquery_flip(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("chain")[0]["value"].cast("long").alias("user_id"), F.floor((F.col("at") - 2) / STEP).alias("event_id"))
 
 
-@add("mquery_range", """
+@add("mquery_range", f"""
 select user_id, event_id from (select *, lag(event_type) over (partition by user_id order by event_id) as p from events)
-where event_type in ('click', 'view') and (p is null or p not in ('click', 'view')) and event_id >= 2000 and event_id < 8000""")
+where event_type in ('click', 'view') and (p is null or p not in ('click', 'view')) and event_id >= {_TOP} // 5 and event_id < {_TOP} // 5 * 4""")
 def mquery_range(spark: SparkSession, d: str) -> DataFrame:
-    s = standing(event_history(spark, d), ['n(last_event=["click","view"])'], start=2000 * STEP, stop=8000 * STEP - 1)
+    part = _top(spark, d) // 5
+    s = standing(event_history(spark, d), ['n(last_event=["click","view"])'], start=part * STEP, stop=part * 4 * STEP - 1)
     return s.select(F.col("chain")[0]["value"].cast("long").alias("user_id"), F.floor((F.col("at") - 2) / STEP).alias("event_id"))
 
 

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.algo.components import spanning_forest
-from lodegraph.algo.paths import closure, costs, hops
+from lodegraph.algo.paths import closure, hops
 from lodegraph.expand.policy import guided_priority
 from lodegraph.expand.source import fetch, peek, semi_join_chain
 from lodegraph.expand.tasks import alert_targets, connect_targets
@@ -53,18 +52,6 @@ def crawl(spark: SparkSession, d: str) -> DataFrame:
     return closure(_edges(spark, d), _seed(spark, 101))
 
 
-@add("components", None)
-def components(spark: SparkSession, d: str) -> DataFrame:
-    return spanning_forest(_edges(spark, d), "id", "nbr")[0]
-
-
-@add("cheapest_costs", None)
-def cheapest_costs(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d)
-    both = e.union(e.select("nbr", "id")).distinct()
-    return costs(both, both.groupBy("id").agg(F.count("*").alias("degree")), 101)
-
-
 @add("peek", "with edges as (select distinct id, rel, nbr from adj where id is not null and rel is not null and nbr is not null) select id, " + ", ".join(f"count(*) filter (rel = {r}) as rel_{r}" for r in range(8)) + " from edges group by id")
 def peek_query(spark: SparkSession, d: str) -> DataFrame:
     p = peek(table(spark, d, "adj"))
@@ -147,18 +134,18 @@ e as (select distinct id as x, nbr as y from adj where rel = 0 and id is not nul
 co as (select s.x as id, f.y as o from e s join e f on f.x = s.y where f.y <> s.x),
 c as (select co.id, country, count(*) as n from co join officer on officer.id = co.o group by 1, 2),
 k as (select c.*, sum(n) over (partition by c.id) as all_n from c)
-select k.id, arg_min(k.country, (n, k.country)) as country, min(n) as n from k left join officer own on own.id = k.id where all_n >= 5 and k.country is distinct from own.country group by k.id""")
+select k.id, arg_min(k.country, (n, k.country)) as country, min(n) as n from k left join officer own on own.id = k.id where all_n >= 50 and k.country is distinct from own.country group by k.id""")
 def alert_targets_query(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "entities").filter("id is not null and domain is not null").groupBy("id").agg(F.min("domain").cast("string").alias("country"))
-    return alert_targets(table(spark, d, "adj"), ids, 0, 5)
+    return alert_targets(table(spark, d, "adj"), ids, 0, 50)
 
 
 @add("connect_targets", """
-with recursive e as (select distinct id, nbr from adj where id is not null and nbr is not null), walk as (select 1044::bigint as id, 0 as hops union select e.nbr, hops + 1 from walk join e using (id) where hops < 4),
+with recursive e as (select distinct id, nbr from adj where id is not null and nbr is not null), walk as (select 1044::bigint as id, 0 as hops union select e.nbr, hops + 1 from walk join e using (id) where hops < 6),
 near as (select id, min(hops) as hops from walk group by id)
-select id, hops from near where hops >= 3 and id in (select id from entities where domain = 1)""")
+select id, hops from near where hops >= 4 and id in (select id from entities where domain = 1)""")
 def connect_targets_query(spark: SparkSession, d: str) -> DataFrame:
-    return connect_targets(_edges(spark, d), 1044, table(spark, d, "entities").filter("domain = 1"), 3, 4)
+    return connect_targets(_edges(spark, d), 1044, table(spark, d, "entities").filter("domain = 1"), 4, 6)
 
 
 @add("sibling_split", None)

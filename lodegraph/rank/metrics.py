@@ -96,12 +96,12 @@ def summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """``by``, ``mean``, ``p50`` and ``p90`` of a value, percentiles as the next higher value that occurs.
 
     Percentiles come by refined histograms, so a few large groups take no task for themselves. Null values
-    and groups are left out.
+    are left out; null is a group like others.
     """
-    v = df.select(by, value).filter(F.col(value).isNotNull() & F.col(by).isNotNull())
-    q = exact_quantiles(v, by, value, [0.5, 0.9], higher=True).groupBy(by).agg(
+    v = df.select(F.struct(by).alias("_by"), value).filter(F.col(value).isNotNull())
+    q = exact_quantiles(v, "_by", value, [0.5, 0.9], higher=True).groupBy("_by").agg(
         F.max(F.when(F.col("prob") == 0.5, F.col(value))).alias("p50"), F.max(F.when(F.col("prob") == 0.9, F.col(value))).alias("p90"))
-    return v.groupBy(by).agg(F.avg(value).alias("mean")).join(q, by)
+    return v.groupBy("_by").agg(F.avg(value).alias("mean")).join(q, "_by").select(f"_by.{by}", "mean", "p50", "p90")
 
 
 def by_task(df: DataFrame, task: str, group: str, value: str) -> DataFrame:

@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +37,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="kept")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables of the operators called inside are deleted at the end, those made outside are not.
+
+    Results may still read them: write or collect these inside.
+    """
+    token = _scope.set(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        _drop(spark, f"lodegraph-tables/{_scope.get()}")
+        _scope.reset(token)
+
+
 def materialize(df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the scratch folder and read it back; ``by`` names a column to partition the files by.
 
@@ -41,14 +61,18 @@ def materialize(df: DataFrame, label: str = "t", by: str | None = None) -> DataF
     anything that depends on task order (generated ids) is fixed by the write.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lodegraph-tables/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/lodegraph-tables/{_scope.get()}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table; results that still read them become unusable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/lodegraph-tables")
+    _drop(spark, "lodegraph-tables")
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{name}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

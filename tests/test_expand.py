@@ -8,7 +8,9 @@ from lodegraph.expand import wire
 from lodegraph.expand.expander import Expander, run_many
 from lodegraph.expand.policy import Bfs, Candidate, Context, Decision, Guided, Rules, Take, Task, guided_priority
 from lodegraph.expand.source import Attr, Via, fetch, peek, semi_join_chain
-from lodegraph.expand.world import planted_alert, planted_path, random_world
+from lodegraph.expand import learned
+from lodegraph.expand.sessions import Sessions
+from lodegraph.expand.world import planted_alert, planted_path, random_world, scenario
 from lodegraph.rank.features import NAMES, features, test_tasks as held_out
 from lodegraph.rank.metrics import bootstrap, capped, credit, per_group, weights
 
@@ -134,3 +136,84 @@ def test_live_standing(spark, tmp_path):
         s.awaitTermination(120)
         assert s.exception() is None
     assert sorted(x for _, x in seen) == [3, 6]
+
+
+@pytest.mark.parametrize("name,easy,hard", [("path-5hop", Guided(), None), ("path-7hop", Guided(), Rules(4, 2)), ("pivot-busy", Guided(True), Rules(4, 2)), ("alert", Guided(True), Guided()), ("explore", Guided(), None)])
+def test_scenarios(name, easy, hard):
+    w, task, truth = scenario(name, 6000, 5, 4000)
+    done = lambda x: x.report.connected_at is not None
+    x = Expander(w, easy, task)
+    r = x.run(done)
+    assert all(w.linked(a, b, rel) for a, b, rel in truth) and r.fetched <= task.budget
+    if task.goal == "explore":
+        assert r.probes > 10 and r.nodes > 20
+    else:
+        assert r.done_at is not None and (r.alerts or x.connected(*task.seeds))
+    if hard is not None:
+        other = Expander(w, hard, task).run(done)
+        assert other.done_at is None or other.done_at > r.done_at
+
+
+def test_learned_policy(spark, tmp_path):
+    w, task, truth = scenario("path-5hop", 3000, 3, 3000)
+    goal = lambda x: x.report.connected_at is not None
+    guided = Expander(w, Guided(), task, log_batches=True)
+    report = guided.run(goal)
+    on = {x for a, b, _ in truth for x in (a, b)}
+    for policy in ("guided", "uniform"):
+        (tmp_path / f"connect.5.{policy}.jsonl").write_text("\n".join(wire.batch_lines(report, w, on.__contains__)))
+    (tmp_path / "other.5.guided.jsonl").write_text("{}")
+    tasks = spark.createDataFrame([("connect.5", "connect", task.relation_interest, task.domain_interest)], "task string, goal string, relation_interest array<double>, domain_interest array<double>")
+    rows = learned.load(spark, str(tmp_path), tasks)
+    assert rows.count() == 2 * sum(len(b.candidates) for b in report.batches) and rows.filter("y = 1").count() > 0
+    assert learned.concat([rows, rows]).select("grp").distinct().count() == 4 * len(report.batches)
+    # The numbers of a call are those of a table of calls.
+    b = max(report.batches, key=lambda b: len(b.candidates))
+    call = wire.context_json(b.context)
+    mine = {c.id: x for c, x in zip(b.candidates, learned.numbers(task, b.context, b.candidates), strict=True)}
+    same = [r for r in rows.filter("run = 'connect.5.guided'").collect() if r.id in mine and r.batch == pytest.approx(np.log1p(len(b.candidates))) and r.steps == pytest.approx(np.log1p(call["steps"]))]
+    assert len(same) == len(mine) and all(list(mine[r.id]) == pytest.approx([r[n] for n in NAMES]) for r in same)
+    x = Expander(w, learned.Learned([lambda x: np.where(x[:, NAMES.index("cost")] < 4, 0.9, 0.1)]), task)
+    assert x.run(goal).connected_at is not None
+    w, task, _ = scenario("alert", 3000, 3, 3000)
+    ask = learned.answer_columns({5: {"hub": {"score": 3}, "person": {"probability": 0.2}}})
+    seen = []
+    pushed = Expander(w, learned.Learned([lambda x: seen.append(x.shape[1]) or np.full(len(x), 0.5)], push=True, answers=ask), task).run()
+    assert pushed.alert_at is not None and pushed.filtered and set(seen) == {len(NAMES) + 10} and ask([5])[0][3] == 1.0 and np.isnan(ask([6])).all()
+
+
+def test_answers_within_a_budget():
+    asked = []
+    client = learned.Answers(lambda text, qs: asked.append((text, qs)) or ({q: {"probability": 0.5} for q in qs}, 1.0), lambda text, qs: 1.0)
+    texts = {1: "a", 2: "b", 3: "a"}
+    assert client.get(texts, ["person"])[1] == {"person": None} and not asked
+    got = client.get(texts, ["person"], 1.5)
+    assert got[1] == got[3] and got[1]["person"] and got[2]["person"] is None and client.spent == 1.0 and len(asked) == 1
+    assert client.get(texts, ["person"], 9.0)[2]["person"] and len(asked) == 2
+
+
+def test_sessions():
+    w, task, truth = scenario("path-5hop", 2000, 3, 2000)
+    s = Sessions()
+    run = s.start(w, task, truth=truth)
+    seq, first = 0, s.poll(run)
+    assert first["task"]["goal"] == "connect" and first["ask"]["seq"] == 1
+    with pytest.raises(ValueError):
+        s.answer(run, 1, [])
+    with pytest.raises(LookupError):
+        s.answer(run, 7, [{"priority": 0}])
+    while (p := s.poll(run, seq, 5))["state"] == "running" and seq < 400:
+        if "ask" not in p:
+            continue
+        seq = p["ask"]["seq"]
+        takes = [[{"rel": r, "limit": 20} for r in range(8) if c["peek"][r] > c["fetched"][r]] for c in p["ask"]["candidates"]]
+        s.answer(run, seq, [{"priority": -sum(c["peek"]), "take": t} for c, t in zip(p["ask"]["candidates"], takes, strict=True)])
+    assert s.poll(run, seq, 0.1)["report"]["steps"] > 0 and s.trace(run) and s.batches(run)
+    s.stop(run)
+    late = s.start(w, task, timeout=0.05)
+    s._run(late).join(5)
+    assert s.poll(late)["state"] == "cancelled" and s.list() == [late]
+    own = s.start(w, task, Guided())
+    assert s.poll(own)["state"] == "done"
+    with pytest.raises(LookupError):
+        s.poll("no such run")

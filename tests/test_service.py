@@ -174,3 +174,45 @@ def test_bulk_writes_equal_those_one_by_one(spark, tmp_path):
         bulk.chains(spark.createDataFrame([([("t", "x"), ("e", None)],)], chain.schema))
     d = bulk.depths(spark.createDataFrame([(1, 2), (3, 2), (9, 8)], "src long, tgt long"), spark.createDataFrame([(1,)], "id long"))
     assert {r.id: r.depth for r in d.collect()} == {1: 0, 2: 1, 3: 2}
+
+
+def test_codecs():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from lodegraph.functions import codecs as C
+
+    leaf = st.none() | st.booleans() | st.integers(-(2**63), 2**64 - 1) | st.floats(allow_nan=False) | st.text(max_size=40)
+    values = st.recursive(leaf, lambda v: st.lists(v, max_size=20) | st.dictionaries(st.text(max_size=9), v, max_size=20), max_leaves=30)
+
+    @settings(max_examples=150, deadline=None)
+    @given(values, st.lists(st.integers(0, 2**64 - 1), max_size=8))
+    def round_trips(v, ns):
+        assert C.unpack(C.pack(v)) == v and type(C.unpack(C.pack(v))) is type(v)
+        assert list(C.varints(b"".join(map(C.varint, ns)))) == ns and sorted(ns) == sorted(ns, key=C.varint)
+        with pytest.raises(ValueError):
+            C.unpack(C.pack(v) + b"\xc0")
+
+    round_trips()
+    for n in (15, 16, 31, 32, 255, 256, 65_535, 65_536):
+        assert C.unpack(C.pack("x" * n)) == "x" * n and C.unpack(C.pack([None] * n)) == [None] * n
+    for bad in (b"", b"\xa2x", b"\xc1", b"\xc4\x01a", b"\xd9\xff", b"\x92\x01", b"\xa1\xff"):
+        with pytest.raises(ValueError):
+            C.unpack(bad)
+    assert C.fnv64(b"") == 0xCBF29CE484222325 and C.fnv64(b"a") == 0xAF63DC4C8601EC8C
+    r = C.SplitMix(0)
+    assert r.next() == 0xE220A8397B1DCDAF and 0 <= r.below(10) < 10 and 0 <= r.unit() < 1
+    assert C.parse_query("q=a%20b&q=c+d&empty&x=%C3%A9") == [("q", "a b"), ("q", "c d"), ("empty", ""), ("x", "é")] and C.unescape("%zz+1") == "%zz 1"
+
+
+def test_scratch_is_scoped(spark):
+    from lodegraph.session import materialize, scratch
+
+    kept = materialize(spark.range(3), "outer")
+    with scratch(spark):
+        inner = materialize(spark.range(4), "inner")
+        assert inner.count() == 4
+        files = inner.inputFiles()
+    import os
+
+    assert kept.count() == 3 and files and not any(os.path.exists(f.replace("file://", "")) for f in files)
