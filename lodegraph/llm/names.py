@@ -174,7 +174,9 @@ def person_tokens(name: str) -> tuple[list[str], list[str]]:
 
 #: How a reading's chance follows from how many names its words open.
 SURE, OPENED, INITIALS, FRONT, BACK, LAST, KNOWN, UNKNOWN = range(8)
-_READINGS = "value string, n long, rest string, core string, sig string, first string, middle string, way int, factor double, lead string, tail string, inner array<string>, given string, family array<string>"
+_FIELDS = ("rest", "core", "sig", "first", "middle", "way", "factor", "lead", "tail", "inner", "given", "family")
+_TYPES = ("string", "string", "string", "string", "string", "int", "double", "string", "string", "array<string>", "string", "array<string>")
+_READ = f"id long, name string, readings array<struct<{', '.join(f'{f}:{t}' for f, t in zip(_FIELDS, _TYPES, strict=True))}>>"
 
 
 def _reading(given: list[str], family: list[str]) -> tuple[str, str, str]:
@@ -221,22 +223,23 @@ def _cuts(words: list[str]) -> list[tuple[list[str], list[str], int, float, list
     return ways
 
 
-def readings(name: str) -> list[tuple]:
-    """All readings of a name: core, rest, signature, first given name, middle initial, way, factor, outer words and inner words, with words as evidence.
+def readings(text: str) -> tuple[str, list[tuple]]:
+    """A name without what does not matter, and all its readings: the fields of ``_FIELDS``.
 
     The core is the family name or the organisation's own words, written together; the
     rest is what must agree as well: kind, line and number. Where the words stand tells
-    which open names and which close them: the last two columns, of the first reading only.
+    which open names and which close them: the last two fields, of the first reading only.
     """
-    if firm := organisation(name):
+    if firm := organisation(text):
         form = f"{firm['line']}|{firm['number']}"
-        return [("o", firm["core"], form, form, "", SURE, 1.0, None, None, None, None, None)]
-    family, words = person_tokens(name)
+        return f"o {firm['core']}|{form}", [("o", firm["core"], form, form, "", SURE, 1.0, None, None, None, None, None)]
+    family, words = person_tokens(text)
+    name = f"p {' '.join(family)}, {' '.join(words)}"
     if family:
         core, first, middle = _reading(words, family)
-        return [("p", core, f"{first}|{middle}", first, middle, SURE, 1.0, None, None, None, words[0], family)]
+        return name, [("p", core, f"{first}|{middle}", first, middle, SURE, 1.0, None, None, None, words[0], family)]
     if len(words) < 2:
-        return [("p", words[0], "|", "", "", SURE, 1.0, None, None, None, None, None)] if words and len(words[0]) > 1 else []
+        return name, [("p", words[0], "|", "", "", SURE, 1.0, None, None, None, None, None)] if words and len(words[0]) > 1 else []
     full = [spelling.short_id(t) for t in words if len(t) > 1] or [None]
     outer = full[0], full[-1]
     out: dict[tuple, tuple] = {}
@@ -244,14 +247,20 @@ def readings(name: str) -> list[tuple]:
         core, first, middle = _reading(given, family)
         evidence = (words[0], words[-1:]) if not out else (None, None)
         out.setdefault((core, first, middle), ("p", core, f"{first}|{middle}", first, middle, way, factor, *outer, [spelling.short_id(t) for t in inner] or None, *evidence))
-    return list(out.values())
+    return name, list(out.values())
 
 
 def _read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["rest", "core", "sig", "first", "middle", "way", "factor", "lead", "tail", "inner", "given", "family"]
     for pdf in it:
-        rows = [(v, n, *r) for v, n in zip(pdf["value"], pdf["n"], strict=True) for r in readings(v)]
-        yield pd.DataFrame(rows, columns=["value", "n", *columns])
+        read = [readings(v) for v in pdf["value"]]
+        yield pd.DataFrame({"id": pdf["id"], "name": [n for n, _ in read], "readings": [[dict(zip(_FIELDS, r, strict=True)) for r in rs] for _, rs in read]})
+
+
+def read_names(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id`` with ``name``, and each name once with ``n``, how many records have it, and a row for each of its readings; ``rows`` has ``id`` and ``value``."""
+    read = materialize(rows.mapInPandas(_read, _READ).filter("size(readings) > 0"), "read")
+    once = read.groupBy("name").agg(F.count("*").alias("n"), F.first("readings").alias("readings"))
+    return read.select("id", "name"), materialize(once.select("name", "n", F.inline("readings")), "readings")
 
 
 #: Typing errors and short forms of a given name are so many times rarer than the name.
@@ -380,7 +389,7 @@ def _best_rule(found: DataFrame) -> DataFrame:
 
 
 def weighed(read: DataFrame, given: DataFrame) -> DataFrame:
-    """``value``, ``n``, ``rest``, ``core``, ``sig``, ``initial``, ``middle``, ``forms``, ``chance``: the readings that are possible.
+    """``name``, ``n``, ``rest``, ``core``, ``sig``, ``initial``, ``middle``, ``forms``, ``chance``: the readings that are possible.
 
     A reading whose given name opens no name, beside a word that opens ``CERTAIN`` or more,
     is left out; the others share the name's chance by how many names their given names
@@ -388,9 +397,9 @@ def weighed(read: DataFrame, given: DataFrame) -> DataFrame:
     """
     of = lambda c: given.select(F.col("word").alias(c), F.col("opens").alias(f"{c}_opens"), F.col("known").alias(f"{c}_known"))
     inner = read.filter("inner is not null")
-    asked = inner.select("value", "core", "sig", F.explode("inner").alias("word")).join(given.select("word", "opens"), "word", "left")
-    asked = asked.groupBy("value", "core", "sig").agg(F.min(F.coalesce("opens", F.lit(0.0))).alias("least")).filter(F.col("least") >= CERTAIN)
-    rows = read.filter("inner is null").unionByName(inner.join(asked.drop("least"), ["value", "core", "sig"], "left_semi"))
+    asked = inner.select("name", "core", "sig", F.explode("inner").alias("word")).join(given.select("word", "opens"), "word", "left")
+    asked = asked.groupBy("name", "core", "sig").agg(F.min(F.coalesce("opens", F.lit(0.0))).alias("least")).filter(F.col("least") >= CERTAIN)
+    rows = read.filter("inner is null").unionByName(inner.join(asked.drop("least"), ["name", "core", "sig"], "left_semi"))
     sure = rows.filter(F.col("way") == SURE).withColumn("weight", F.lit(1.0))
     open_ = rows.filter(F.col("way") != SURE).join(of("lead"), "lead", "left").join(of("tail"), "tail", "left")
     lead, tail = F.coalesce("lead_opens", F.lit(0.0)), F.coalesce("tail_opens", F.lit(0.0))
@@ -399,15 +408,16 @@ def weighed(read: DataFrame, given: DataFrame) -> DataFrame:
     back = F.col("way").isin(BACK, LAST) & ~((lead >= CERTAIN) & (tail == 0))
     named = F.coalesce("lead_known", F.lit(False))
     weight = F.when(F.col("way") == INITIALS, F.col("factor")).when(front, F.col("factor") * (lead + 0.6)).when(back & (F.col("way") == BACK), F.col("factor") * (tail + 0.4)).when(back, F.col("factor"))
-    weight = F.coalesce(weight, F.when((F.col("way") == KNOWN) & named, 1.0).when((F.col("way") == UNKNOWN) & ~named, 1.0))
+    # A word and an initial: family name and given name, or the other way round if the word is found to be a given name.
+    weight = F.coalesce(weight, F.when((F.col("way") == KNOWN) & named, lead + 0.6).when(F.col("way") == UNKNOWN, 1.0))
     both = sure.unionByName(open_.withColumn("weight", weight).filter("weight is not null").select(*sure.columns))
     forms = F.when(F.length("first") > 1, F.col("forms"))
     own = F.array(F.struct(F.when(F.col("rest") == "o", F.col("sig")).otherwise(F.col("first")).alias("form"), F.lit(1.0).alias("weight")))
     initial = (F.col("rest") == "p") & (F.length("first") == 1)
     both = both.join(given.select(F.col("word").alias("first"), "forms"), "first", "left")
     return both.select(
-        "value", "n", "rest", "core", "sig", initial.alias("initial"), "middle", F.coalesce(F.when(F.col("rest") == "p", forms), own).alias("forms"),
-        (F.col("weight") / F.sum("weight").over(Window.partitionBy("value"))).alias("chance"))
+        "name", "n", "rest", "core", "sig", initial.alias("initial"), "middle", F.coalesce(F.when(F.col("rest") == "p", forms), own).alias("forms"),
+        (F.col("weight") / F.sum("weight").over(Window.partitionBy("name"))).alias("chance"))
 
 
 def _with_initials(each: DataFrame, by: list[str]) -> DataFrame:
@@ -436,9 +446,7 @@ def _support(each: DataFrame) -> DataFrame:
 
 def resolved_names(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     """``id``, ``rest``, ``canonical``, ``who``: the name of each record of domains 0 to 2; equal columns are one name."""
-    rows = materialize(spelling.ids_and_values(entities, [0, 1, 2], ["entity", "officer", "intermediary"], ["name"]), "named")
-    names = rows.groupBy("value").agg(F.count("*").alias("n"))
-    read = materialize(names.mapInPandas(_read, _READINGS), "read")
+    ids, read = read_names(spelling.ids_and_values(entities, [0, 1, 2], ["entity", "officer", "intermediary"], ["name"]))
     given = given_names(read, _nicks(nicknames))
     # A particle written onto the family name: the name without it is one more key.
     bare = lambda w: F.array(*[F.when(w.startswith(p) & (F.length(w) >= len(p) + 6), F.substring(w, len(p) + 1, 1 << 30)) for p in ("al", "de", "van")])
@@ -455,8 +463,8 @@ def resolved_names(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     # Of equal support all names take the same reading, whatever their own order.
     unsure = forms.filter("chance < 1").join(likely, _SIG)
     best = F.max(F.struct("likely", "core", "chance", "sig", "rest", "canonical", "n")).alias("b")
-    chosen = unsure.groupBy("value").agg(best).select("value", "b.rest", "b.canonical", "b.sig", "b.n")
-    chosen = materialize(forms.filter("chance >= 1").select("value", *_SIG, "n").unionByName(chosen), "chosen")
+    chosen = unsure.groupBy("name").agg(best).select("name", "b.rest", "b.canonical", "b.sig", "b.n")
+    chosen = materialize(forms.filter("chance >= 1").select("name", *_SIG, "n").unionByName(chosen), "chosen")
     held = chosen.groupBy(*_SIG).agg(F.sum("n").cast("double").alias("n"))
     each = materialize(each.drop("n").join(held, _SIG), "rewritten")
     seen = each.join(_support(each), _FORM)
@@ -467,7 +475,7 @@ def resolved_names(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
         "rivals", F.sum((F.col("support") > 0).cast("int")).over(w)).withColumn("fitting", F.sum(F.col("fits").cast("int")).over(w))
     sure = ~F.col("initial") | (F.col("rivals") == 1) | (F.col("fitting") == 1)
     best = ranked.filter("r = 1").select(*_SIG, F.when(sure, F.col("form")).otherwise(F.concat(F.lit("?"), "sig")).alias("who"))
-    return rows.join(chosen.select("value", *_SIG).join(best, _SIG), "value").select("id", "rest", "canonical", "who")
+    return ids.join(chosen.select("name", *_SIG).join(best, _SIG), "name").select("id", "rest", "canonical", "who")
 
 
 def same_name(entities: DataFrame, nicknames: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def test_given_names(spark):
     counts = {"paula": 12, "paul": 5, "marion": 30, "marian": 25, "samuel": 30, "samu": 2, "samuell": 3, "alexander": 40, "cornelius": 40}
     code = lambda i: "".join("bcdfghklmnprtvwz"[(i >> s) & 15] + "aeiu"[(i >> s) & 3] for s in (0, 2, 4, 6, 8))
     rows = [(f"{w} {code(97 * k + i)}{w[:2]}q", 1) for k, (w, c) in enumerate(counts.items()) for i in range(c)] + [("Dr. L" + "o" * 100 + "ng X. Samue1", 1), ("lex Q.", 1)]
-    read = spark.createDataFrame(rows, "value string, n long").mapInPandas(names._read, names._READINGS)
+    read = names.read_names(spark.createDataFrame([(i, v) for i, (v, _) in enumerate(rows)], "id long, value string"))[1]
     got = {r.word: r for r in names.given_names(read, names._nicks(spark.createDataFrame([("lex", "Alexander")], "nick string, formal string"))).collect()}
     form = lambda w: [(f.form, f.weight) for f in got[w].forms]
     assert all(form(w) == [(w, 1.0)] for w in ("paul", "paula", "marian", "marion"))
