@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import addresses, mixing, names, packing, spam, splits, topn
-from lodegraph.session import table
+from lodegraph.session import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +59,35 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
         F.broadcast(total)).select("split", "calls", "components", (F.col("calls") / F.col("t")).alias("share"))
 
 
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any splits: every call has one, no component is torn, the shares are near."""
+    s = splits.assign_splits(_anchors(spark, d)).groupBy("anchor").agg(
+        F.count("*").alias("n"), F.countDistinct("grp").alias("calls"), F.countDistinct("split").alias("splits"), F.first("split").alias("split"))
+    part = lambda x: F.sum(F.when(F.col("split") == x, F.col("n")).otherwise(0)) / F.sum("n")
+    near = [F.abs(part(x) - p) < 0.03 for x, p in splits.SPLITS]
+    return s.agg(F.sum("calls").alias("calls"), F.count_if(F.col("splits") > 1).alias("torn"), (near[0] & near[1] & near[2]).alias("near"))
+
+
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: every text is there, no container too full, no text torn that fits, no two members of a cluster together."""
+    from lodegraph.llm.duplicates import clusters
+
+    docs = table(spark, d, "documents")
+    p = materialize(packing.pack(docs, table(spark, d, "pack_targets")), "packed")
+    held = p.groupBy("name", "capacity_tokens", "container").agg(F.sum("tokens").alias("t")).groupBy("name").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
+    texts = p.groupBy("name", "capacity_tokens", "doc_id").agg(F.sum("tokens").alias("t"), F.countDistinct("container").alias("c"))
+    texts = texts.groupBy("name").agg(F.count("*").alias("documents"), F.count_if((F.col("t") <= F.col("capacity_tokens")) & (F.col("c") > 1)).alias("torn"))
+    roots = p.filter("piece = 0").join(clusters(docs), F.col("doc_id") == F.col("node")).groupBy("name", "container", "root").agg(F.countDistinct("doc_id").alias("n"))
+    together = roots.groupBy("name").agg(F.count_if(F.col("n") > 1).alias("together"))
+    return texts.join(held, "name").join(together, "name", "left").select("name", "documents", "overfull", "torn", F.coalesce("together", F.lit(0)).alias("together"))
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any mixture: every source is reported, none is used beyond its cap, the shares add up to 1."""
+    s = p7_shares(spark, d)
+    return s.agg(F.count("*").alias("sources"), F.count_if(F.col("most_copies") > F.col("max_repeats")).alias("beyond"), F.round(F.sum("actual_share"), 9).alias("whole"))
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_targets"))
 
@@ -94,10 +123,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_splits": p5_splits,
     "p5_forest": p5_forest,
     "p5_shares": p5_shares,
+    "p5_checks": p5_checks,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
+    "p6_checks": p6_checks,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
 }
@@ -134,6 +166,9 @@ anchors as (select grp, min(coalesce(anchor, grp)) as anchor from calls left joi
 """
 
 ORACLES: dict[str, str] = {
+    "p5_checks": "select count(distinct grp) as calls, 0::bigint as torn, true as near from batches",
+    "p6_checks": "select name, (select count(distinct doc_id) from documents where text <> '') as documents, 0::bigint as overfull, 0::bigint as torn, 0::bigint as together from pack_targets",
+    "p7_checks": "select count(*) as sources, 0::bigint as beyond, 1.0::double as whole from mix_targets",
     "p5_found": _ANCHORS + "select grp, anchor from anchors where grp <> anchor",
     "p3_found": _BEST + "select grp, id from ranked where rank <= 5",
     "p3_top_ranked": _BEST + "select grp, id, prior, rank from ranked where rank <= 5",

@@ -109,6 +109,10 @@ def test_same_location(spark):
     got = pairs(addresses.same_location(entities(spark, (full + odd) * 2)))
     assert got == [(1, 2), (1, 140), (2, 140), (3, 4), (5, 6)]
     assert addresses.same_location(entities(spark, odd).limit(0)).count() == 0
+    bare = [(1, 3, "address address: Old Mill, Togdilda, AA06 07663"), (2, 3, "address address: AA06-07663 Togdilda; Old Mill"), (3, 3, "address address: New Mill, Togdilda, AA06 07663"), (4, 3, "address address: Old Mill")]
+    assert pairs(addresses.same_location(entities(spark, full + bare))) == [(1, 2)]
+    dutch = [(i, 3, f"address address: {12 + i // 2} Puburgagdil Lane, Togdilda, 10{i % 2}7 AB") for i in range(4)]
+    assert pairs(addresses.same_location(entities(spark, dutch), postcode=r"\b(\d{2})\d(\d) ?[a-z]{2}\b")) == [(0, 1), (2, 3)]
     assert sorted(tuple(r) for r in addresses.location_classes(entities(spark, full + odd)).collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 3, 1), (5, 5, 1), (6, 5, 1), (140, 1, 2)]
 
 
@@ -252,6 +256,16 @@ def test_near_duplicates_are_apart(spark):
     assert all(where[a] != where[b] for a, b in near)
 
 
+def test_runs_of_many_texts_are_those_of_each():
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abc") for _ in range(r.choice([0, 1, 4, 5, 6, 40]))) for _ in range(50)] + ["!?", "  ", "A b", "a  B"]
+    for t, got in zip(texts, duplicates.runs_of(texts), strict=True):
+        words = t.lower().split()
+        want = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+        assert len(got) == len(want) and got.tolist() == duplicates.runs(t).tolist()
+    assert duplicates.runs("A b").tolist() == duplicates.runs("a  B").tolist() and duplicates.runs_of([]) == []
+
+
 def test_tokens_of_long_texts():
     enc = tokens.encoding(tokens.VOCABULARY)
     t = "the harbour dredging levy is late " * 20_000
