@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.operators.skew import distributed_rank
 from lodegraph.schema import LOG, VALUES, typed
-from lodegraph.session import materialize
+from lodegraph.session import materialize, settled
+
+#: Places in a partition, as monotonically_increasing_id counts them.
+_PLACE = (1 << 33) - 1
 
 
 @dataclass(frozen=True)
@@ -40,57 +42,94 @@ def load(nodes: Sequence[Nodes], edges: Sequence[Edges]) -> DataFrame:
 
     Equal nodes and equal edges are created once, with the least of each property's values if rows
     disagree; edges whose ends are not among the nodes are left out, null properties too.
-    Ids come from a distributed rank, so that no task numbers all rows.
+    Nothing in it ends: there are no deletions, and each key of a parent occurs once.
+    Ids are ranks in distributed partitions, so that no task numbers all rows: nodes by type
+    and value, edges by type, ends and value, properties by parent and key. Properties travel with their
+    node or edge, so that each table is sorted once. Files are by kind, sorted by type, key and value.
     """
-    found = None
-    for n in nodes:
-        part = n.rows.select(F.lit(n.type).alias("type"), n.value.cast("string").alias("value")).filter("value is not null")
-        found = part if found is None else found.union(part)
-    if found is None:
+    if not nodes:
         raise ValueError("a graph needs nodes")
-    numbered = materialize(distributed_rank(found.distinct(), ["type", "value"], name="id").withColumn("id", F.col("id") + 1), "nodes")
-    count = numbered.count()
-    ids = numbered.select(F.col("type").alias("_t"), F.col("value").alias("_v"), F.col("id").alias("_id"))
+    return settled(nodes[0].rows.sparkSession, lambda: _log(nodes, edges), "log", by="kind")
+
+
+def _log(nodes: Sequence[Nodes], edges: Sequence[Edges]) -> DataFrame:
+    n, node_counts = _placed([(n.type, n.rows.select(F.lit(n.type).alias("type"), n.value.cast("string").alias("value"), *_own(n)).filter("value is not null")) for n in nodes], nodes, "node")
+    count, above = sum(c for _, c, _ in node_counts), sum(p for _, _, p in node_counts)
+    ids = _numbered(n.filter("kind = 'node'"), node_counts, 0, 0).select(F.col("type").alias("_t"), F.col("value").alias("_v"), F.col("id").alias("_id"))
 
     def end(df: DataFrame, type_: str, column: str, out: str) -> DataFrame:
         side = ids.filter(F.col("_t") == type_).select(F.col("_v").alias(column), F.col("_id").alias(out))
-        return df.join(side, column)
+        return df.join(side, column).drop(column)
 
-    linked = None
+    rows = []
     for e in edges:
-        part = e.rows.select(e.src[1].cast("string").alias("_s"), e.tgt[1].cast("string").alias("_g"), (e.value.cast("string") if e.value is not None else F.lit("")).alias("value"))
-        part = end(end(part.distinct(), e.src[0], "_s", "src"), e.tgt[0], "_g", "tgt").select(F.lit(e.type).alias("type"), "value", "src", "tgt")
-        linked = part if linked is None else linked.union(part)
-    if linked is not None:
-        linked = materialize(distributed_rank(linked.distinct(), ["type", "src", "tgt", "value"], name="id").withColumn("id", F.col("id") + 1 + count), "edges")
-        count += linked.count()
-    props = None
-    for n in nodes:
-        for key, (c, kind) in n.props.items():
-            part = end(n.rows.select(n.value.cast("string").alias("_s"), *typed(c, kind)).filter(c.isNotNull()), n.type, "_s", "parent")
-            part = part.select("parent", F.lit(key).alias("key"), *VALUES)
-            props = part if props is None else props.union(part)
-    for e in edges:
-        if not e.props or linked is None:
-            continue
-        # All properties of an edge type share one join to the edges.
-        cells = F.array(*[F.struct(F.lit(k).alias("key"), *typed(c, kind)) for k, (c, kind) in e.props.items()])
-        part = e.rows.select(e.src[1].cast("string").alias("_s"), e.tgt[1].cast("string").alias("_g"), (e.value.cast("string") if e.value is not None else F.lit("")).alias("value"), cells.alias("_c"))
-        part = end(end(part, e.src[0], "_s", "src"), e.tgt[0], "_g", "tgt")
-        own = linked.filter(F.col("type") == e.type).select("src", "tgt", "value", F.col("id").alias("parent"))
-        part = part.join(own, ["src", "tgt", "value"]).select("parent", F.inline("_c")).select("parent", "key", *VALUES).filter("val_json is not null")
-        props = part if props is None else props.union(part)
-    none = {f.name: F.lit(None).cast(f.dataType) for f in LOG.fields}
+        part = e.rows.select(e.src[1].cast("string").alias("_s"), e.tgt[1].cast("string").alias("_g"), (e.value.cast("string") if e.value is not None else F.lit("")).alias("value"), *_own(e))
+        part = part if e.props else part.distinct()
+        # A written table after each join: shuffle files of one are gone when the next begins.
+        part = settled(part.sparkSession, lambda e=e, part=part: end(materialize(end(part, e.src[0], "_s", "src"), "ends"), e.tgt[0], "_g", "tgt"), "ends")
+        rows.append((e.type, part.withColumn("type", F.lit(e.type))))
+    if not rows:
+        return _laid_out(_numbered(n, node_counts, 0, count))
+    linked, edge_counts = _placed(rows, edges, "edge")
+    total = count + sum(c for _, c, _ in edge_counts)
+    return _laid_out(_numbered(n, node_counts, 0, total).union(_numbered(linked, edge_counts, count, total + above)))
+
 
-    def as_log(df: DataFrame, kind: str, have: Sequence[str]) -> DataFrame:
-        known = {c: F.col(c) for c in have} | {"kind": F.lit(kind)}
-        return df.select(*[known.get(f.name, none[f.name]).cast(f.dataType).alias(f.name) for f in LOG.fields])
-
-    log = as_log(numbered, "node", ["id", "type", "value"])
-    if linked is not None:
-        log = log.union(as_log(linked, "edge", ["id", "type", "value", "src", "tgt"]))
-    if props is not None:
-        once = props.groupBy("parent", "key").agg(F.min(F.struct("val_json", *[v for v in VALUES if v != "val_json"])).alias("v")).select("parent", "key", "v.*")
-        once = distributed_rank(once, ["parent", "key"], name="id").withColumn("id", F.col("id") + 1 + count)
-        log = log.union(as_log(once, "prop", ["id", "parent", "key", *VALUES]))
-    return materialize(log, "log")
+def _own(spec: Nodes | Edges) -> list[Column]:
+    return [c.alias(f"_p{k}") for k, (c, _) in enumerate(spec.props.values())]
+
+
+def _placed(found: Sequence[tuple[str, DataFrame]], specs: Sequence[Nodes | Edges], kind: str) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """Nodes or edges, each once and followed by its properties in the order of their keys, and how many of both each partition has.
+
+    ``_row`` is the place of the node or edge among those of its partition, ``_at`` the place among all rows there.
+    """
+    keys = ["type", "value"] if kind == "node" else ["type", "src", "tgt", "value"]
+    # A column for each property of each table, null in the others.
+    cells = [(i, k, t, key, how, df.schema[f"_p{k}"].dataType) for i, ((t, df), s) in enumerate(zip(found, specs, strict=True)) for k, (key, (_, how)) in enumerate(s.props.items())]
+    every = None
+    for i, (_, df) in enumerate(found):
+        part = df.select(*keys, *[(F.col(f"_p{k}") if j == i else F.lit(None)).cast(of).alias(f"_p{j}_{k}") for j, k, _, _, _, of in cells])
+        every = part if every is None else every.union(part)
+    # Partitions by ranges of all keys have equal rows together: they are made one there, without another shuffle.
+    parts = every.repartitionByRange(*[F.col(k) for k in keys])
+    json = lambda c, how: typed(c, how)[VALUES.index("val_json")]
+    least = [F.min(F.when(F.col(p).isNotNull(), F.struct(json(F.col(p), how), F.col(p).alias("of")))).alias(p) for j, k, _, _, how, _ in cells for p in [f"_p{j}_{k}"]]
+    once = (parts.groupBy(*keys).agg(*least) if least else parts.distinct()).sortWithinPartitions(*keys)
+    order = ["val_json", *[v for v in VALUES if v != "val_json"]]
+    by: dict[tuple[str, str], list[Column]] = {}
+    for j, k, t, key, how, _ in cells:
+        value = F.struct(*typed(F.col(f"_p{j}_{k}.of"), how)).alias("v")
+        by.setdefault((key, t), []).append(F.when(F.col(f"_p{j}_{k}").isNotNull(), F.struct(*[value[v].alias(v) for v in order])))
+    none = {f.name: F.lit(None).cast(f.dataType) for f in LOG.fields}
+    items = [F.array(F.struct(none["key"].alias("key"), *[none[v].alias(v) for v in order]))]
+    if by:
+        values = [(key, t, c[0] if len(c) == 1 else F.least(*c)) for (key, t), c in sorted(by.items())]
+        items.append(F.filter(F.array(*[F.struct(F.lit(key).alias("key"), *[v[x].alias(x) for x in order]) for key, t, v in values]), lambda x: x["val_json"].isNotNull()))
+    rows = once.withColumn("_row", F.monotonically_increasing_id()).select(*keys, "_row", F.inline(F.concat(*items))).withColumn("_at", F.monotonically_increasing_id())
+    own = F.col("key").isNull()
+    rows = rows.select(F.when(own, kind).otherwise("prop").alias("kind"), *[(F.when(own, F.col(k)) if k in keys else none[k]).alias(k) for k in ("type", "value", "src", "tgt")], "key", *VALUES, "_row", "_at")
+    placed = materialize(rows, "placed", by="kind")
+    # One row a partition.
+    counts = placed.groupBy(F.shiftright("_row", 33).cast("int").alias("part")).agg(F.count_if(F.col("kind") != "prop").alias("own"), F.count_if(F.col("kind") == "prop").alias("props"))
+    return placed, sorted(tuple(r) for r in counts.collect())
+
+
+def _numbered(placed: DataFrame, counts: list[tuple[int, int, int]], first: int, first_prop: int) -> DataFrame:
+    """Log rows of ``_placed``: ids of nodes or edges after ``first``, of properties after ``first_prop``."""
+    shifts = []
+    for part, own, props in counts:
+        shifts.append((part, first, first_prop))
+        first, first_prop = first + own, first_prop + props
+    shift = F.broadcast(placed.sparkSession.createDataFrame(shifts, "_part int, _own long, _props long"))  # one row a partition
+    of = placed.withColumn("_part", F.shiftright("_row", 33).cast("int")).join(shift, "_part")
+    place = F.col("_row").bitwiseAND(F.lit(_PLACE))
+    own, prop = F.col("_own") + place + 1, F.col("_props") + F.col("_at").bitwiseAND(F.lit(_PLACE)) - place
+    is_prop = F.col("kind") == "prop"
+    known = {"id": F.when(is_prop, prop).otherwise(own), "parent": F.when(is_prop, own)}
+    have = {f: F.col(f) for f in placed.columns}
+    return of.select(*[(known.get(f.name, have.get(f.name, F.lit(None)))).cast(f.dataType).alias(f.name) for f in LOG.fields])
+
+
+def _laid_out(log: DataFrame) -> DataFrame:
+    return log.sortWithinPartitions("kind", "type", "key", "val_str", "val_num", "id")
