@@ -41,11 +41,11 @@ def neighbour_types(view: View) -> DataFrame:
 
 def edge_lists(view: View) -> DataFrame:
     """``id``, ``edges``, ``inbound``, ``outbound``: ids of a node's edges, inbound first, each by type and id; a self-loop once."""
-    inc = view.incidence
-    item = F.struct((F.col("out") & ~F.col("loop")).alias("o"), F.col("type").alias("t"), F.col("edge").alias("e"))
-    ids = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["e"])
-    by = inc.groupBy("node").agg(
-        ids(item).alias("edges"), ids(F.when(~F.col("out") | F.col("loop"), item)).alias("inbound"), ids(F.when(F.col("out"), item)).alias("outbound"))
+    # One list a node; what comes in and what goes out are parts of it, in its order.
+    item = F.struct((F.col("out") & ~F.col("loop")).alias("o"), F.col("type").alias("t"), F.col("edge").alias("e"), F.col("loop").alias("l"))
+    ids = lambda c: F.transform(c, lambda s: s["e"])
+    all_ = view.incidence.groupBy("node").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    by = all_.select("node", ids("all").alias("edges"), ids(F.filter("all", lambda s: ~s["o"])).alias("inbound"), ids(F.filter("all", lambda s: s["o"] | s["l"])).alias("outbound"))
     none = F.array().cast("array<bigint>")
     return _every(view, by, {"edges": none, "inbound": none, "outbound": none})
 

@@ -7,7 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from lodegraph.log import derive_next
+from lodegraph import natives
+from lodegraph.log import View, derive_next
+from lodegraph.schema import as_log
 from lodegraph.session import materialize, scratch, scratch_dir, settled
 from lodegraph.sources.tables import Edges, Nodes, load
 
@@ -57,3 +59,16 @@ def test_settled_keeps_what_was_there(spark):
     before = tables(spark)
     out = settled(spark, lambda: materialize(kept, "inner").join(kept, "id"), "outer")
     assert out.count() == 3 and kept.count() == 3 and len(tables(spark) - before) == 1
+
+
+def links(spark):
+    nodes = spark.createDataFrame([(i, "node", "n", None, None) for i in (1, 2, 3)], "id long, kind string, type string, src long, tgt long")
+    edges = spark.createDataFrame([(4, "edge", "q", 1, 2), (5, "edge", "p", 1, 2), (6, "edge", "p", 2, 1), (7, "edge", "p", 1, 1)], nodes.schema)
+    return as_log(nodes.union(edges))
+
+
+def test_edge_lists_send_one_list(spark):
+    lists = natives.edge_lists(View(derive_next(links(spark))))
+    assert lists._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
+    rows = {r.id: (r.edges, r.inbound, r.outbound) for r in lists.collect()}
+    assert rows == {1: ([6, 7, 5, 4], [6, 7], [7, 5, 4]), 2: ([5, 4, 6], [5, 4], [6]), 3: ([], [], [])}
