@@ -21,8 +21,8 @@ def degrees(view: View) -> DataFrame:
 
 def neighbours(view: View) -> DataFrame:
     """``id``, ``neighbor_count`` and ``neighbors``, the ids of other nodes it shares an edge with, in order."""
-    pairs = view.incidence.filter("node <> other").select("node", "other").distinct()
-    by = pairs.groupBy("node").agg(F.count("*").alias("neighbor_count"), F.array_sort(F.collect_list("other")).alias("neighbors"))
+    sets = view.incidence.filter("node <> other").groupBy("node").agg(F.array_sort(F.collect_set("other")).alias("neighbors"))
+    by = sets.select("node", F.size("neighbors").cast("long").alias("neighbor_count"), "neighbors")
     return _every(view, by, {"neighbor_count": F.lit(0), "neighbors": F.array().cast("array<bigint>")})
 
 

@@ -72,3 +72,9 @@ def test_edge_lists_send_one_list(spark):
     assert lists._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
     rows = {r.id: (r.edges, r.inbound, r.outbound) for r in lists.collect()}
     assert rows == {1: ([6, 7, 5, 4], [6, 7], [7, 5, 4]), 2: ([5, 4, 6], [5, 4], [6]), 3: ([], [], [])}
+
+
+def test_neighbours_are_gathered_once(spark):
+    found = natives.neighbours(View(derive_next(links(spark))))
+    assert "collect_set(" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: (r.neighbor_count, r.neighbors) for r in found.collect()} == {1: (1, [2]), 2: (1, [1]), 3: (0, [])}
