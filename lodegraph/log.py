@@ -75,8 +75,10 @@ def delta(history: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     while not front.isEmpty():
         nodes, ids = front.filter("kind = 'node'").select("id"), front.select("id")
         edges = old.filter("kind = 'edge'")
-        below = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(nodes.withColumnRenamed("id", "tgt"), "tgt", "left_semi"))
-        below = below.unionByName(old.filter("kind = 'prop'").join(ids.withColumnRenamed("id", "parent"), "parent", "left_semi"))
+        # A write for each, so that the shuffle files of one join are gone when the next begins.
+        below = materialize(edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").select(*history.columns), "below")
+        below = below.unionByName(materialize(edges.join(nodes.withColumnRenamed("id", "tgt"), "tgt", "left_semi").select(*history.columns), "below"))
+        below = below.unionByName(materialize(old.filter("kind = 'prop'").join(ids.withColumnRenamed("id", "parent"), "parent", "left_semi").select(*history.columns), "below"))
         below = below.select(*history.columns).dropDuplicates(["id"])
         front = materialize(below.join(reached.select("id"), "id", "left_anti").select(*history.columns), "reached")
         reached = reached.union(front)

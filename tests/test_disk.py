@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from lodegraph import natives
-from lodegraph.log import View, derive_next
+from lodegraph.log import View, delta, derive_next
 from lodegraph.schema import as_log
 from lodegraph.session import materialize, scratch, scratch_dir, settled
 from lodegraph.sources.tables import Edges, Nodes, load
@@ -78,3 +78,11 @@ def test_neighbours_are_gathered_once(spark):
     found = natives.neighbours(View(derive_next(links(spark))))
     assert "collect_set(" in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id: (r.neighbor_count, r.neighbors) for r in found.collect()} == {1: (1, [2]), 2: (1, [1]), 3: (0, [])}
+
+
+def test_deletions_write_after_each_join(spark):
+    before = tables(spark)
+    new = as_log(spark.createDataFrame([(8, "deletion", 2)], "id long, kind string, target long"))
+    rows, ends = delta(derive_next(links(spark)), new)
+    assert {tuple(r) for r in ends.collect()} == {(2, 8), (4, 8), (5, 8), (6, 8)} and rows.count() == 1
+    assert any(t.startswith("below-") for t in tables(spark) - before)
