@@ -86,3 +86,22 @@ def test_deletions_write_after_each_join(spark):
     rows, ends = delta(derive_next(links(spark)), new)
     assert {tuple(r) for r in ends.collect()} == {(2, 8), (4, 8), (5, 8), (6, 8)} and rows.count() == 1
     assert any(t.startswith("below-") for t in tables(spark) - before)
+
+
+def test_clusters_leave_one_table_and_send_few_pairs(spark):
+    import numpy as np
+
+    from lodegraph.llm import duplicates
+
+    rng = np.random.default_rng(5)
+    x, y = (rng.integers(-(1 << 62), 1 << 62, n) for n in (200, 40))
+    one, two = np.sort(x), np.sort(np.concatenate((x[20:], y)))
+    bits = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(duplicates._sketch(one), duplicates._sketch(two), strict=True))
+    assert 0 < bits <= len(np.setxor1d(one, two)) and duplicates._key(one) != duplicates._key(two)
+    words = [f"w{i}" for i in range(60)]
+    texts = {1: words, 2: [*words[:59], "x"], 3: words, 4: words[:30] + [f"z{i}" for i in range(30)], 5: [f"v{i}" for i in range(60)]}
+    rows = [(i, " ".join(t), None) for i, t in texts.items()] + [(2, "another text of the same number that is like none", None), (6, None, 5)]
+    before = tables(spark)
+    found = duplicates.clusters(spark.createDataFrame(rows, "doc_id long, text string, reissue_of long"))
+    assert {r.node: r.root for r in found.collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
+    assert len(tables(spark) - before) == 1
